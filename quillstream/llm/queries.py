@@ -9,18 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 from quillstream.llm.bpe import op9
 from quillstream.llm.common import read
 from quillstream.llm.exact_dedup import OP4_SQL, op4
+from quillstream.llm.html_text import op5
 from quillstream.llm.mixing import OP7_SQL, op7
+from quillstream.llm.quality import op8
 from quillstream.llm.secrets import op10
+from quillstream.llm.toxicity import op2
+from quillstream.llm.url_filter import OP6_SQL, op6
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_toxicity": lambda s, d: op2(read(s, d, "documents"), read(s, d, "labels")),
         "op4_exact_dedup": lambda s, d: op4(read(s, d, "documents")),
+        "op5_html_text": lambda s, d: op5(read(s, d, "pages")),
+        "op6_url_filter": lambda s, d: op6(read(s, d, "pages")),
         "op7_mix_sources": lambda s, d: op7(read(s, d, "documents")),
+        "op8_quality": lambda s, d: op8(read(s, d, "documents"), read(s, d, "labels")),
         "op9_byte_bpe": lambda s, d: op9(read(s, d, "documents")),
         "op10_secret_scan": lambda s, d: op10(read(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op7_mix_sources": OP7_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op6_url_filter": OP6_SQL, "op7_mix_sources": OP7_SQL}
