@@ -10,16 +10,20 @@ from quillstream.llm.bpe import op9
 from quillstream.llm.common import read
 from quillstream.llm.exact_dedup import OP4_SQL, op4
 from quillstream.llm.html_text import op5
+from quillstream.llm.jaccard_join import op3
 from quillstream.llm.mixing import OP7_SQL, op7
 from quillstream.llm.quality import op8
 from quillstream.llm.secrets import op10
+from quillstream.llm.topk_search import OP1_SQL, op1
 from quillstream.llm.toxicity import op2
 from quillstream.llm.url_filter import OP6_SQL, op6
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_topk_search": lambda s, d: op1(read(s, d, "embeddings")),
         "op2_toxicity": lambda s, d: op2(read(s, d, "documents"), read(s, d, "labels")),
+        "op3_jaccard_join": lambda s, d: op3(read(s, d, "documents")),
         "op4_exact_dedup": lambda s, d: op4(read(s, d, "documents")),
         "op5_html_text": lambda s, d: op5(read(s, d, "pages")),
         "op6_url_filter": lambda s, d: op6(read(s, d, "pages")),
@@ -31,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op6_url_filter": OP6_SQL, "op7_mix_sources": OP7_SQL}
+    return {"op1_topk_search": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_url_filter": OP6_SQL, "op7_mix_sources": OP7_SQL}
