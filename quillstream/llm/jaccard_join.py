@@ -12,11 +12,13 @@ that two different sets share are kept.
    documents), and the links found give components, cut into groups of bounded size.
 3. The matrix holds, for each token, the groups that contain it.  A representative and a
    group of another component are a candidate if they share an indexed token and their
-   sizes allow a link.
-4. For each candidate the overlap with the union of the group's tokens bounds the Jaccard
-   similarity from above; only groups whose bound qualifies are opened and compared set
-   by set, exactly.
+   sizes, and the token's places in the order, allow a link.
+4. For each candidate the query's tokens that the union of the group's tokens lacks bound
+   the Jaccard similarity from above; only groups whose bound qualifies are opened.  What
+   is left is compared set by set, exactly.
 
+Bounds use the indexed tokens alone: up to the place where the shorter of two lists ends
+both sets are known, and each token that only one of them has lowers what they can share.
 No step lists all pairs inside a group: large groups of near copies become one component
 in step 2, which is not compared with itself.
 """
@@ -71,6 +73,24 @@ def is_link(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def known_part(prefix: np.ndarray, early: int) -> tuple[np.ndarray, float]:
+    """The tokens among the first ``early`` (sorted by hash), and up to which hash they are
+    all that the set has there."""
+    return prefix[:early], float("inf") if early < len(prefix) or not early else float(prefix[early - 1])
+
+
+def may_link(x: np.ndarray, x_early: int, nx: int, y: np.ndarray, y_early: int, ny: int, percent: int) -> bool:
+    """Whether two sets can link, by their indexed tokens."""
+    (a, ends_a), (b, ends_b) = known_part(x, x_early), known_part(y, y_early)
+    if not len(a) or not len(b):
+        return True
+    end = min(ends_a, ends_b)
+    a, b = a[a <= end], b[b <= end]
+    both = int(_inside(a, b).sum()) if len(b) else 0
+    lost = len(a) + len(b) - 2 * both
+    return (100 + percent) * (nx + ny - lost) >= 2 * percent * (nx + ny)
+
+
 def _inside(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which elements of the sorted ``a`` are in the sorted ``b``."""
     at = np.searchsorted(b, a)
@@ -124,22 +144,24 @@ def jaccard_groups(
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = frequent.value
         for b in batches:
-            sizes, digests, prefixes = [], [], []
+            sizes, digests, prefixes, early = [], [], [], []
             for t in b["text"]:
                 s = shingle_set(t, words)
                 k = prefix_length(len(s), percent)
                 if len(last) and len(s):
                     late = _inside(s, last)
-                    s_ordered = np.concatenate([s[~late][:k], s[late]])[:k]
+                    common = s[late]
+                    s = np.concatenate([s[~late], common])
+                    early.append(min(k, len(s) - len(common)))
                 else:
-                    s_ordered = s[:k]
+                    early.append(k)
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                prefixes.append(s_ordered)
-            yield pd.DataFrame({"id": b["id"], "n": sizes, "digest": digests, "prefix": prefixes}, columns=["id", "n", "digest", "prefix"])
+                prefixes.append(s[:k])
+            yield pd.DataFrame({"id": b["id"], "n": sizes, "digest": digests, "prefix": prefixes, "early": early})
 
     kind = given.schema["id"].dataType.simpleString()
-    sets = stored(rows.mapInPandas(summarise, f"id {kind}, n long, digest binary, prefix array<long>"), "jaccard-sets")
+    sets = stored(rows.mapInPandas(summarise, f"id {kind}, n long, digest binary, prefix array<long>, early int"), "jaccard-sets")
     light = sets.select("id", "n", "digest")
     classes = light.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     copies = stored(light.join(classes.where("copies > 1"), "digest").where("id != rep").select("id", "rep").distinct(), "jaccard-copies")
@@ -148,79 +170,102 @@ def jaccard_groups(
     # Tokens of the prefixes that different sets share, dealt out once and read twice.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tokens = single.select("id", "n", F.posexplode("prefix").alias("pos", "token")).repartition(parts, "token")
-    shared = tokens.groupBy("token").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    postings = stored(tokens.join(shared.select("token", "least"), "token"), "jaccard-postings")
+    shared = tokens.groupBy("token").agg(F.min(F.struct("id", "n", "pos")).alias("least"), F.max("id").alias("most"))
+    postings = stored(tokens.join(shared.where(F.col("least")["id"] < F.col("most")).drop("most"), "token"), "jaccard-postings")
 
-    def full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "tokens": [shingle_set(t, words).tobytes() for t in b["text"]]}, columns=["id", "tokens"])
+    def allowed(n, left, low, high, high_left):
+        """Sizes n and low to high can link, with one token shared before at most
+        ``left`` and ``high_left`` others: an upper bound of what is shared."""
+        fits = (n * percent <= high * 100) & (low * percent <= n * 100)
+        return fits & (F.least(left, high_left) * (100 + percent) >= (n + low) * percent)
 
-    involved = stored(postings.select("id").distinct(), "jaccard-involved")
-    full = rows.join(broadcast_if_small(involved, broadcast_rows), "id", "left_semi").dropDuplicates(["id"])
-    full = stored(full.mapInPandas(full_sets, f"id {kind}, tokens binary"), "jaccard-full")
+    @F.pandas_udf("boolean")
+    def possible(x: pd.Series, xe: pd.Series, nx: pd.Series, y: pd.Series, ye: pd.Series, ny: pd.Series) -> pd.Series:
+        return pd.Series([may_link(*v, percent) for v in zip(x, xe, nx, y, ye, ny, strict=True)], dtype=bool)
 
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
         read = lambda x: np.frombuffer(x, np.int64)
         return pd.Series([is_link(read(x), read(y), percent) for x, y in zip(a, b, strict=True)], dtype=bool)
 
+    def full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "tokens": [shingle_set(t, words).tobytes() for t in b["text"]]}, columns=["id", "tokens"])
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) that link, by their whole sets, taken from the texts again."""
+        pairs = stored(pairs, name + "-pairs")
+        ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), name + "-ids")
+        full = rows.join(broadcast_if_small(ids, broadcast_rows), "id", "left_semi")
+        full = stored(full.mapInPandas(full_sets, f"id {kind}, tokens binary"), name + "-sets")
+        both = pairs.join(full.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
+        both = both.join(full.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
+        return stored(both.where(linked("x", "y")).select("a", "b"), name + "-links")
+
     # Step 2: each set against the smallest id under each of its first shared tokens.
-    nth = F.slice(F.array_sort(F.collect_list(F.struct("pos", "least"))), 1, pivots)
-    near = postings.groupBy("id").agg(F.array_distinct(F.transform(nth, lambda x: x["least"])).alias("near"))
-    near = near.select("id", F.explode("near").alias("pivot")).where("id != pivot")
-    pairs = near.join(full.withColumnRenamed("tokens", "x"), "id")
-    pairs = pairs.join(full.select(F.col("id").alias("pivot"), F.col("tokens").alias("y")), "pivot")
-    links = stored(pairs.where(linked("x", "y")).select(F.col("id").alias("a"), F.col("pivot").alias("b")), "jaccard-links")
+    least = F.col("least")
+    near = postings.where(
+        (F.col("id") != least["id"])
+        & allowed(F.col("n"), F.col("n") - F.col("pos"), least["n"], least["n"], least["n"] - least["pos"])
+    )
+    nth = F.slice(F.array_sort(F.collect_list(F.struct("pos", least["id"].alias("pivot")))), 1, pivots)
+    near = near.groupBy("id").agg(F.array_distinct(F.transform(nth, lambda x: x["pivot"])).alias("near"))
+    near = near.select(F.col("id").alias("a"), F.explode("near").alias("b"))
+    heads = sets.select("id", "n", "prefix", "early")
+    sided = lambda c, t: heads.select(F.col("id").alias(c), *(F.col(x).alias(x + t) for x in ("n", "prefix", "early")))
+    near = near.join(sided("a", "_a"), "a").join(sided("b", "_b"), "b")
+    near = near.where(possible("prefix_a", "early_a", "n_a", "prefix_b", "early_b", "n_b")).select("a", "b").distinct()
+    links = verified(near, "jaccard-near")
     first = connected_components(links)
 
     # Step 3: the matrix of tokens and groups, and what can still link across components.
-    members = involved.join(first, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    members = postings.select("id").distinct().join(first, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     sized = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / group_size).alias("cuts"))
     members = members.join(sized, "component")
     members = stored(members.withColumn("cut", F.pmod(F.xxhash64("id"), "cuts")).drop("cuts"), "jaccard-members")
-    indexed = postings.select("id", "n", "token").join(members, "id")
+    indexed = postings.select("id", "n", "token", (F.col("n") - F.col("pos")).alias("left")).join(members, "id")
     matrix = indexed.groupBy("token", F.col("component").alias("g"), F.col("cut").alias("gc")).agg(
-        F.min("n").alias("low"), F.max("n").alias("high")
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max("left").alias("high_left")
     )
-    fits = (F.col("n") * percent <= F.col("high") * 100) & (F.col("low") * percent <= F.col("n") * 100)
+    fits = allowed(F.col("n"), F.col("left"), F.col("low"), F.col("high"), F.col("high_left"))
     opened = indexed.join(matrix, "token").where((F.col("component") > F.col("g")) & fits).select("id", "g", "gc").distinct()
     opened = stored(opened, "jaccard-candidates")
 
-    # Step 4: bound by the union of the group's tokens, then compare.  The salt keeps the
-    # queries of one task bounded; a group of 64 sets is read once for each salt.
+    # Step 4: bound by the union of the group's tokens, open, compare.  The salt keeps the
+    # queries of one task bounded; a group's lists are read once for each salt.
     per_group = opened.groupBy("g", "gc").agg(F.ceil(F.count(F.lit(1)) / 512).alias("salts"))
     queries = opened.join(per_group, ["g", "gc"]).withColumn("salt", F.pmod(F.xxhash64("id"), "salts")).drop("salts")
-    queries = queries.join(full, "id")
+    queries = queries.join(heads, "id")
     sides = members.select("id", F.col("component").alias("g"), F.col("cut").alias("gc")).join(per_group, ["g", "gc"])
-    sides = sides.select("id", "g", "gc", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(full, "id")
+    sides = sides.select("id", "g", "gc", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(heads, "id")
     sides = sides.select(*(F.col(c).alias(c) for c in sides.columns))  # apart from the other side's columns
 
     def open_group(queries: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(x, np.int64) for x in group["tokens"]]
         found = []
-        if sets:
-            union = np.unique(np.concatenate(sets))
-            for i, x in zip(queries["id"], queries["tokens"], strict=True):
-                q = np.frombuffer(x, np.int64)
-                inside = q[_inside(q, union)]
-                if 100 * len(inside) < percent * len(q):
+        if len(group) and len(queries):
+            parts = [known_part(p, e) for p, e in zip(group["prefix"], group["early"], strict=True)]
+            union, end, low = np.unique(np.concatenate([p for p, _ in parts])), min(e for _, e in parts), int(group["n"].min())
+            for q in queries.itertuples():
+                mine, ends = known_part(q.prefix, q.early)
+                mine = mine[mine <= min(ends, end)]
+                lacks = len(mine) - int(_inside(mine, union).sum()) if len(union) else len(mine)
+                if (100 + percent) * (q.n - lacks) < percent * (q.n + low):
                     continue
-                for j, s in zip(group["id"], sets, strict=True):
-                    if is_link(q, s, percent):  # one is enough: the group is one component
-                        found.append((i, j))
-                        break
+                for m in group.itertuples():
+                    if may_link(q.prefix, q.early, q.n, m.prefix, m.early, m.n, percent):
+                        found.append((q.id, m.id))
         return pd.DataFrame(found, columns=["a", "b"])
 
     keys = ["g", "gc", "salt"]
     more = queries.groupBy(*keys).cogroup(sides.groupBy(*keys)).applyInPandas(open_group, f"a {kind}, b {kind}")
-    more = stored(more, "jaccard-more-links")
+    more = verified(more, "jaccard-more")
     final = connected_components(links.union(more)) if more.limit(1).count() else first
 
     # Back to the rows: copies follow their representative.
     light = light.distinct().join(copies, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
     light = light.join(final.withColumnRenamed("id", "rep"), "rep", "left")
     out = light.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    nameless = given.where(F.col("id").isNull()).mapInPandas(summarise, f"id {kind}, n long, digest binary, prefix array<long>")
+    nameless = given.where(F.col("id").isNull()).mapInPandas(summarise, f"id {kind}, n long, digest binary, prefix array<long>, early int")
     out = out.union(nameless.select("id", "n", F.col("id").alias("component_id")))
     return out.withColumnRenamed("id", id_col)
 
