@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from quillstream.llm.common import stored
 
-LEAF = 24
+#: Rows of a leaf: pairs of leaves are one matrix product each.
+LEAF = 128
 FAN = 8
 NEVER = -(2**62)
 
@@ -96,8 +97,10 @@ class DualTree:
 
     def leaves(self, qs: np.ndarray, rows: np.ndarray) -> None:
         scores = inner(self.q[qs], self.x[rows])
-        for i, q in enumerate(qs):
-            for j in np.flatnonzero(scores[i] >= self.worst[q]):
+        reaches = scores >= self.worst[qs][:, None]
+        for i in np.flatnonzero(reaches.any(1)):
+            q = qs[i]
+            for j in np.flatnonzero(reaches[i]):
                 if self.ids[rows[j]] == self.q_ids[q]:
                     continue
                 entry, heap = (int(scores[i, j]), -int(self.ids[rows[j]])), self.best[q]
