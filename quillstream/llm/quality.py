@@ -77,6 +77,21 @@ def passage_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return x, bags
 
 
+def slices(texts: list[str | None], limit: int = 1 << 20) -> Iterator[list[str | None]]:
+    """The texts in runs of about ``limit`` characters, so that the arrays made of them stay
+    small whatever a batch holds."""
+    part: list[str | None] = []
+    size = 0
+    for t in texts:
+        part.append(t)
+        size += len(t) if isinstance(t, str) else 0
+        if size >= limit:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 class AttentionModel:
     """Encoder, gated attention and classifier, with plain gradients."""
 
@@ -125,9 +140,7 @@ class AttentionModel:
         return self
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        if not texts:
-            return np.zeros(0)
-        return self._forward(*passage_features(texts))["y"]
+        return np.concatenate([np.zeros(0), *(self._forward(*passage_features(part))["y"] for part in slices(texts))])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str, text_col: str, label_col: str, max_docs: int) -> AttentionModel:
@@ -140,9 +153,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str,
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x, bags = passage_features(list(b[text_col]))
-            parts = np.split(x.astype(np.float32), np.cumsum(bags)[:-1]) if len(b) else []
-            yield pd.DataFrame({"label": b["__label"].astype("int64"), "n": bags[: len(b)], "x": [p.tobytes() for p in parts]})
+            sizes, parts = [], []
+            for part in slices(list(b[text_col])):
+                x, bags = passage_features(part)
+                sizes += bags.tolist()
+                parts += np.split(x.astype(np.float32), np.cumsum(bags)[:-1])
+            yield pd.DataFrame({"label": b["__label"].astype("int64"), "n": sizes, "x": [p.tobytes() for p in parts]}, columns=["label", "n", "x"])
 
     rows = found.mapInPandas(features, "label long, n long, x binary").toPandas()
     model = AttentionModel()
