@@ -3,13 +3,14 @@
 A text is cut into words by the vocabulary's pattern.  The words of all texts are
 counted, and a fold of ranked merges turns each distinct frequent word's bytes into
 token ids once; rarer words are folded where they stand, each of them being almost
-unique.  Both use one literal rank map.
+unique.  Both use one literal rank map.  Texts are put together from the frequent words'
+ids in Arrow batches, which leave a gap for each rarer word.
 
 Bytes are held as characters U+0000 to U+00FF (ISO-8859-1), one for each byte, since
 Spark's string functions then cut and join them byte by byte.
 
-The rank map and the map of frequent words are literal arrays of small maps, chosen by
-hash, since looking up a key in one of Spark's maps scans it.
+The rank map is a literal array of small maps, chosen by hash, since looking up a key in
+one of Spark's maps scans it.
 """
 
 from __future__ import annotations
@@ -17,14 +18,22 @@ from __future__ import annotations
 import base64
 import json
 import zlib
+from collections.abc import Iterator
+from itertools import chain, repeat
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillstream.llm.common import stored
 
 BUCKETS = 1 << 16
 NO_RANK = 2**31 - 1
+SHIFT = 1 << 31
 
 
 def read_ranks(path: str) -> dict[str, int]:
@@ -56,42 +65,80 @@ def find(table: Column, key: Column) -> Column:
 
 def fold(word: Column, ranks: Column) -> Column:
     """Token ids of one word of byte characters: merge the pair of lowest rank, leftmost
-    first, until no pair has a rank.  The state holds pieces and the ranks of neighbours;
-    a merge looks up no more than two new ranks."""
-    rank = lambda a, b: F.coalesce(find(ranks, F.concat(a, b)), F.lit(NO_RANK))
-    n = F.length(word)
-    pieces = F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(word, i, F.lit(1)))
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.coalesce(find(ranks, F.substr(word, i, F.lit(2))), F.lit(NO_RANK)))
+    first, until no pair has a rank.
+
+    The state is the list of boundaries between pieces, each packed with the rank of
+    merging across it (rank * SHIFT + place), so that its least element is the next
+    merge.  A merge drops a boundary and ranks its two neighbours anew."""
+    n, none = F.length(word), F.array().cast("array<bigint>")
+
+    def packed(low: Column, place: Column, high: Column) -> Column:
+        found = find(ranks, F.substr(word, low + 1, high - low)).cast("long")
+        return F.coalesce(found, F.lit(NO_RANK).cast("long")) * SHIFT + place
+
+    def place(x: Column) -> Column:
+        return (x % SHIFT).cast("int")
 
     def merge(s: Column, _: Column) -> Column:
-        return with_value(F.array_min(s["ranks"]), lambda best: merged(s, best))
+        return with_value(F.array_min(s), lambda best: F.when(best >= NO_RANK * SHIFT, s).otherwise(merged(s, best)))
 
     def merged(s: Column, best: Column) -> Column:
-        at = F.array_position(s["ranks"], best).cast("int")
-        done = F.coalesce(best, F.lit(NO_RANK)) == NO_RANK
-        return F.when(done, s).otherwise(with_value(at, lambda p: joined(s, p)))
-
-    def joined(s: Column, p: Column) -> Column:
-        new = F.concat(F.get(s["pieces"], p - 1), F.get(s["pieces"], p))
-        size = F.size(s["pieces"])
-        left = F.when(p > 1, F.array(rank(F.get(s["pieces"], p - 2), new))).otherwise(F.array().cast("array<int>"))
-        right = F.when(p + 1 < size, F.array(rank(new, F.get(s["pieces"], p + 1)))).otherwise(F.array().cast("array<int>"))
-        return F.struct(
-            F.concat(F.slice(s["pieces"], F.lit(1), p - 1), F.array(new), F.slice(s["pieces"], p + 2, size)).alias("pieces"),
-            F.concat(F.slice(s["ranks"], F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(s["ranks"], p + 2, size)).alias("ranks"),
+        return with_value(F.array_position(s, best).cast("int"), lambda p: without(s, p))
+
+    def without(s: Column, p: Column) -> Column:
+        left, right = place(F.get(s, p - 2)), place(F.get(s, p))
+        low, high = F.coalesce(place(F.get(s, p - 3)), F.lit(0)), F.coalesce(place(F.get(s, p + 1)), n)
+        return F.concat(
+            F.slice(s, F.lit(1), F.greatest(p - 2, F.lit(0))),
+            F.when(p > 1, F.array(packed(low, left, F.coalesce(right, n)))).otherwise(none),
+            F.when(p < F.size(s), F.array(packed(F.coalesce(left, F.lit(0)), right, high))).otherwise(none),
+            F.slice(s, p + 2, n),
         )
 
-    start = F.struct(pieces.alias("pieces"), pairs.alias("ranks"))
-    ends = F.aggregate(F.sequence(F.lit(1), n - 1), start, merge, lambda s: F.transform(s["pieces"], lambda x: find(ranks, x)))
+    def ids(s: Column) -> Column:
+        cuts = F.concat(F.array(F.lit(0)), F.transform(s, place), F.array(n))
+        return with_value(
+            cuts,
+            lambda c: F.transform(
+                F.sequence(F.lit(1), F.size(c) - 1),
+                lambda i: find(ranks, F.substr(word, F.get(c, i - 1) + 1, F.get(c, i) - F.get(c, i - 1))),
+            ),
+        )
+
+    inner = F.sequence(F.lit(1), n - 1)
+    ends = F.aggregate(inner, F.transform(inner, lambda i: packed(i - 1, i, i + 1)), merge, ids)
     whole = find(ranks, word)
     return F.when(whole.isNotNull(), F.array(whole)).when(n < 2, F.array().cast("array<int>")).otherwise(ends)
 
 
+def as_bytes(word: Column) -> Column:
+    """The UTF-8 bytes of a string as characters, one for each byte."""
+    return F.decode(word.cast("binary"), "ISO-8859-1")
+
+
 def words_of(text: Column, pattern: str) -> Column:
-    """The pattern's matches as byte characters.  White space is Unicode's, as in the
-    tokenizer's own engine."""
-    found = F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0))
-    return F.transform(found, lambda w: F.decode(w.cast("binary"), "ISO-8859-1"))
+    """The pattern's matches.  White space is Unicode's, as in the tokenizer's own engine."""
+    return F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0))
+
+
+def python_pattern(pattern: str) -> str:
+    """The same pattern for the regex library, white space again being Unicode's."""
+    return pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+
+
+def _runs(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A list column of ``values``, cut at ``ends``."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values))
+
+
+def frequent_table(often: DataFrame, ids_col: str) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """Number by word, and where each number's ids end in the list of all ids."""
+    got = often.toArrow()
+    ids = got.column(ids_col).combine_chunks()
+    ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
+    flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+    sizes = pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+    return {w: i for i, w in enumerate(got.column("word").to_pylist())}, np.cumsum(sizes), flat
 
 
 def bpe_encode(
@@ -100,7 +147,7 @@ def bpe_encode(
     pattern: str,
     text_col: str = "text",
     out_col: str = "ids",
-    frequent_words: int = 1 << 17,
+    frequent_words: int = 1 << 20,
 ) -> DataFrame:
     """Add the token ids of the whole text to every row.
 
@@ -123,16 +170,55 @@ def bpe_encode(
             break
         least = r["step"]
     often = counts.where(step >= least).select("word").repartition(4 * docs.sparkSession.sparkContext.defaultParallelism)
-    folded = with_value(rank_map, lambda m: fold(F.col("word"), m))
-    early = {r["word"]: r["ids"] for r in often.select("word", folded.alias("ids")).collect()}  # frequent_words at most
-    ids = with_value(
-        rank_map,
-        lambda m: with_value(
-            as_lookup(early, "array<int>"),
-            lambda known: F.transform(words_of(text, pattern), lambda w: F.coalesce(find(known, w), fold(w, m))),
-        ),
-    )
-    return docs.withColumn(out_col, F.flatten(ids))
+    folded = with_value(rank_map, lambda m: fold(as_bytes(F.col("word")), m))
+    often = stored(often.select("word", folded.alias("ids")), "bpe-frequent")  # frequent_words rows at most
+    known = docs.sparkSession.sparkContext.broadcast(frequent_table(often, "ids"))
+    cut = python_pattern(pattern)
+
+    def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Parts of a batch of about 4 MB of text (or one document), which bounds the words held."""
+        size = pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        marks = np.flatnonzero(np.diff(np.cumsum(size) >> 22, prepend=0, append=-1))
+        for low, high in zip([0, *marks[:-1]], marks, strict=True):
+            if high > low:
+                yield batch.slice(low, high - low)
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of the frequent words' ids, and the rarer words between them."""
+        number, ends, flat = known.value
+        starts, find_all = ends - np.diff(ends, prepend=0), regex.compile(cut).findall
+        for b in chain.from_iterable(map(slices, batches)):
+            found = [find_all(t) if t else [] for t in b.column(at).to_pylist()]
+            words = list(chain.from_iterable(found))
+            doc_ends = np.cumsum([len(f) for f in found], dtype=np.int64)
+            which = np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))
+            gaps = np.flatnonzero(which < 0)
+            size = np.where(which < 0, 0, ends[which] - starts[which]) if len(ends) else np.zeros(len(words), np.int64)
+            after = np.cumsum(size)
+            ids = np.zeros(0, np.int32)
+            if len(ends) and len(words):
+                shift = np.where(which < 0, 0, starts[which]) - (after - size)
+                ids = flat[np.arange(after[-1]) + np.repeat(shift, size)]
+            before = np.concatenate([[0], after])
+            # Each document has one run more than it has gaps: runs end at gaps and at its end.
+            gap_docs = np.searchsorted(doc_ends, gaps, side="right")
+            run_ends = np.sort(np.concatenate([before[gaps], before[doc_ends]]), kind="stable")
+            gap_ends = np.searchsorted(gap_docs, np.arange(len(found)), side="right")
+            runs = _runs(ids, run_ends)
+            nested = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], gap_ends + np.arange(1, len(found) + 1)]).astype(np.int32)), runs)
+            rare = pa.array([words[i] for i in gaps], pa.string())
+            rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], gap_ends]).astype(np.int32)), rare)
+            yield pa.RecordBatch.from_arrays([*b.columns, nested, rare], names=[*names, "__runs", "__rare"])
+
+    names, at = docs.columns, docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields])
+    schema = schema.add("__runs", T.ArrayType(T.ArrayType(T.IntegerType()))).add("__rare", T.ArrayType(T.StringType()))
+    cut_up = docs.mapInArrow(assemble, schema)
+    rare = with_value(rank_map, lambda m: F.transform("__rare", lambda w: fold(as_bytes(w), m)))
+    rare = F.concat(rare, F.array(F.array().cast("array<int>")))
+    ids = F.flatten(F.zip_with("__runs", rare, lambda r, w: F.concat(r, w)))
+    ids = F.when(F.size("__rare") == 0, F.col("__runs")[0]).otherwise(ids)
+    return cut_up.withColumn(out_col, ids).drop("__runs", "__rare")
 
 
 def bpe_decode(docs: DataFrame, ranks: dict[str, int], ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
