@@ -59,8 +59,8 @@ def with_value(value: Column, body) -> Column:
 
 def find(table: Column, key: Column) -> Column:
     """The value of ``key``, or null."""
-    bucket = (F.crc32(key.cast("binary")) % BUCKETS).cast("int")
-    return F.try_element_at(F.get(table, bucket), key)
+    bucket = F.crc32(key.cast("binary")).bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
+    return F.try_element_at(table[bucket], key)
 
 
 def fold(word: Column, ranks: Column) -> Column:
@@ -69,44 +69,41 @@ def fold(word: Column, ranks: Column) -> Column:
 
     The state is the list of boundaries between pieces, each packed with the rank of
     merging across it (rank * SHIFT + place), so that its least element is the next
-    merge.  A merge drops a boundary and ranks its two neighbours anew."""
-    n, none = F.length(word), F.array().cast("array<bigint>")
+    merge.  A merge drops a boundary and ranks its two neighbours anew.  The word's two
+    ends stand twice, without a rank, so that every boundary has two neighbours a side."""
+    n, last = F.length(word), F.lit(NO_RANK * SHIFT)
 
     def packed(low: Column, place: Column, high: Column) -> Column:
-        found = find(ranks, F.substr(word, low + 1, high - low)).cast("long")
-        return F.coalesce(found, F.lit(NO_RANK).cast("long")) * SHIFT + place
+        found = find(ranks, F.substr(word, low + 1, high - low)).cast("long") * SHIFT
+        return F.coalesce(found, last) + place
 
     def place(x: Column) -> Column:
-        return (x % SHIFT).cast("int")
+        return x.bitwiseAND(F.lit(SHIFT - 1).cast("long")).cast("int")
 
     def merge(s: Column, _: Column) -> Column:
-        return with_value(F.array_min(s), lambda best: F.when(best >= NO_RANK * SHIFT, s).otherwise(merged(s, best)))
+        return with_value(F.array_min(s), lambda best: F.when(best >= last, s).otherwise(merged(s, best)))
 
     def merged(s: Column, best: Column) -> Column:
-        return with_value(F.array_position(s, best).cast("int"), lambda p: without(s, p))
+        return with_value((F.array_position(s, best) - 1).cast("int"), lambda p: without(s, p))
 
     def without(s: Column, p: Column) -> Column:
-        left, right = place(F.get(s, p - 2)), place(F.get(s, p))
-        low, high = F.coalesce(place(F.get(s, p - 3)), F.lit(0)), F.coalesce(place(F.get(s, p + 1)), n)
-        return F.concat(
-            F.slice(s, F.lit(1), F.greatest(p - 2, F.lit(0))),
-            F.when(p > 1, F.array(packed(low, left, F.coalesce(right, n)))).otherwise(none),
-            F.when(p < F.size(s), F.array(packed(F.coalesce(left, F.lit(0)), right, high))).otherwise(none),
-            F.slice(s, p + 2, n),
-        )
+        left, right = place(s[p - 1]), place(s[p + 1])
+        new_left = F.when(left > 0, packed(place(s[p - 2]), left, right)).otherwise(last)
+        new_right = F.when(right < n, packed(left, right, place(s[p + 2]))).otherwise(last + n)
+        return F.concat(F.slice(s, F.lit(1), p - 1), F.array(new_left, new_right), F.slice(s, p + 3, n + 4))
 
     def ids(s: Column) -> Column:
-        cuts = F.concat(F.array(F.lit(0)), F.transform(s, place), F.array(n))
         return with_value(
-            cuts,
+            F.transform(F.slice(s, F.lit(2), F.size(s) - 2), place),
             lambda c: F.transform(
                 F.sequence(F.lit(1), F.size(c) - 1),
-                lambda i: find(ranks, F.substr(word, F.get(c, i - 1) + 1, F.get(c, i) - F.get(c, i - 1))),
+                lambda i: find(ranks, F.substr(word, c[i - 1] + 1, c[i] - c[i - 1])),
             ),
         )
 
     inner = F.sequence(F.lit(1), n - 1)
-    ends = F.aggregate(inner, F.transform(inner, lambda i: packed(i - 1, i, i + 1)), merge, ids)
+    start = F.concat(F.array(last, last), F.transform(inner, lambda i: packed(i - 1, i, i + 1)), F.array(last + n, last + n))
+    ends = F.aggregate(inner, start, merge, ids)
     whole = find(ranks, word)
     return F.when(whole.isNotNull(), F.array(whole)).when(n < 2, F.array().cast("array<int>")).otherwise(ends)
 
@@ -228,10 +225,12 @@ def bpe_decode(docs: DataFrame, ranks: dict[str, int], ids_col: str = "ids", out
     for piece, rank in ranks.items():
         by_rank[rank] = piece
     table = F.from_json(F.lit(json.dumps(by_rank, ensure_ascii=False, separators=(",", ":"))), "array<string>")
+    ids = F.col(ids_col)
+    known = (F.size(ids) == 0) | ((F.array_min(ids) >= 0) & (F.array_max(ids) < len(by_rank)))
+    pieces_of = with_value(table, lambda pieces: F.transform(ids, lambda i: pieces[i]))
+    # A null id or a rank without a piece becomes a character that no byte has; encode refuses it.
     unknown = F.raise_error(F.lit("an id that the vocabulary has not")).cast("string")
-    joined = with_value(
-        table, lambda pieces: F.array_join(F.transform(F.col(ids_col), lambda i: F.coalesce(F.get(pieces, i), unknown)), "")
-    )
+    joined = F.when(ids.isNull(), None).when(known, F.array_join(pieces_of, "", "\u0100")).otherwise(unknown)
     return docs.withColumn(out_col, F.encode(joined, "ISO-8859-1"))
 
 

@@ -202,3 +202,12 @@ def test_pipeline_keeps_one_of_each_group(spark):
     assert kept.columns == docs.columns and len(ids) == len(set(ids)) and len(ids) < docs.count()
     rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
     assert Counter(label for _, label in brute_components(rows).values()).most_common(1)[0][1] == 1
+
+
+def test_bpe_decode_refuses_unknown_ids(spark):
+    table, _ = bpe.vocabulary()
+    odd = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
+    assert {r["doc_id"]: r["decoded"] for r in bpe.bpe_decode(odd, table).collect()} == {1: None, 2: b""}
+    for bad, why in ((-1, "vocabulary has not"), (len(table), "vocabulary has not"), (None, "MALFORMED_CHARACTER")):
+        with pytest.raises(Exception, match=why):
+            bpe.bpe_decode(spark.createDataFrame([(1, [0, bad])], "doc_id long, ids array<int>"), table).collect()
