@@ -1,10 +1,12 @@
 """N-gram Jaccard join by a token-group matrix.
 
 A document is the set of its word shingles, held as 64-bit hashes.  The tokens of all sets
-have one order: shingles that a sample shows to be frequent come last, else the hash
-decides.  Two sets that reach the threshold then share one of their first
-``n - ceil(t * n) + 1`` tokens, so only those are ever indexed, and of these only tokens
-that two different sets share are kept.
+have one order, rare ones first.  The number of sets that hold a token is counted exactly
+for the tokens of one zone of hashes, which is a little wider than a prefix; tokens outside
+it follow by hash, and shingles that a sample shows to be frequent come last.  Two sets
+that reach the threshold then share one of their first ``n - ceil(t * n) + 1`` tokens, so
+only those are ever indexed.  Tokens that one set alone holds come first of all and link
+nothing: a set with enough of them is not indexed, and of others they are only counted.
 
 1. Documents with the same set are one representative.
 2. Similar documents are brought into groups: each representative is compared with the
@@ -17,8 +19,9 @@ that two different sets share are kept.
    the Jaccard similarity from above; only groups whose bound qualifies are opened.  What
    is left is compared set by set, exactly.
 
-Bounds use the indexed tokens alone: up to the place where the shorter of two lists ends
-both sets are known, and each token that only one of them has lowers what they can share.
+Bounds use the indexed tokens alone: up to the place in the order where the shorter of two
+lists ends both sets are known, and each token that only one of them has lowers what they
+can share.
 No step lists all pairs inside a group: large groups of near copies become one component
 in step 2, which is not compared with itself.
 """
@@ -30,12 +33,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.llm.common import broadcast_if_small, stored
 from quillstream.llm.components import connected_components
 
+#: The hashes below this bound, 34 of 100, are the zone whose tokens are counted.
+ZONE_END = np.int64(-(2**63) + 34 * 2**64 // 100)
+
+#: A token's key: how many sets hold it in the upper bits, its hash in the lower 48.
+HASH_BITS = 48
+MOST_SETS, OUTSIDE, FREQUENT = 32_000, 32_100, 32_200
+
 _MUL = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -73,21 +83,15 @@ def is_link(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def known_part(prefix: np.ndarray, early: int) -> tuple[np.ndarray, float]:
-    """The tokens among the first ``early`` (sorted by hash), and up to which hash they are
-    all that the set has there."""
-    return prefix[:early], float("inf") if early < len(prefix) or not early else float(prefix[early - 1])
-
-
-def may_link(x: np.ndarray, x_early: int, nx: int, y: np.ndarray, y_early: int, ny: int, percent: int) -> bool:
-    """Whether two sets can link, by their indexed tokens."""
-    (a, ends_a), (b, ends_b) = known_part(x, x_early), known_part(y, y_early)
-    if not len(a) or not len(b):
-        return True
-    end = min(ends_a, ends_b)
-    a, b = a[a <= end], b[b <= end]
+def may_link(x: np.ndarray, x_alone: int, nx: int, y: np.ndarray, y_alone: int, ny: int, percent: int) -> bool:
+    """Whether two sets of nx and ny tokens can link, by their indexed keys (sorted) and by
+    how many tokens before those each has alone."""
+    if not len(x) or not len(y):
+        return False
+    end = min(x[-1], y[-1])
+    a, b = x[x <= end], y[y <= end]
     both = int(_inside(a, b).sum()) if len(b) else 0
-    lost = len(a) + len(b) - 2 * both
+    lost = x_alone + y_alone + len(a) + len(b) - 2 * both
     return (100 + percent) * (nx + ny - lost) >= 2 * percent * (nx + ny)
 
 
@@ -142,34 +146,57 @@ def jaccard_groups(
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(rows, words, sample_docs, 4, 100_000))
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Size and digest of each set, its tokens in the zone, and the keys of those that
+        fill its prefix if the zone has too few."""
         last = frequent.value
         for b in batches:
-            sizes, digests, prefixes, early = [], [], [], []
+            sizes, digests, zones, rests = [], [], [], []
             for t in b["text"]:
                 s = shingle_set(t, words)
-                k = prefix_length(len(s), percent)
-                if len(last) and len(s):
-                    late = _inside(s, last)
-                    common = s[late]
-                    s = np.concatenate([s[~late], common])
-                    early.append(min(k, len(s) - len(common)))
-                else:
-                    early.append(k)
+                late = _inside(s, last) if len(last) else np.zeros(len(s), bool)
+                inside = (s < ZONE_END) & ~late
+                zone, missing = s[inside], prefix_length(len(s), percent) - int(inside.sum())
+                rest = np.zeros(0, np.int64)
+                if missing > 0:
+                    first = np.where(late, FREQUENT, OUTSIDE)[~inside].astype(np.int64) << HASH_BITS
+                    rest = np.sort(first | (s[~inside] & ((1 << HASH_BITS) - 1)))[:missing]
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                prefixes.append(s[:k])
-            yield pd.DataFrame({"id": b["id"], "n": sizes, "digest": digests, "prefix": prefixes, "early": early})
+                zones.append(zone)
+                rests.append(rest)
+            yield pd.DataFrame({"id": b["id"], "n": sizes, "digest": digests, "zone": zones, "rest": rests})
 
     kind = given.schema["id"].dataType.simpleString()
-    sets = stored(rows.mapInPandas(summarise, f"id {kind}, n long, digest binary, prefix array<long>, early int"), "jaccard-sets")
+    summary = f"id {kind}, n long, digest binary, zone array<long>, rest array<long>"
+    sets = stored(rows.mapInPandas(summarise, summary), "jaccard-sets")
     light = sets.select("id", "n", "digest")
     classes = light.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     copies = stored(light.join(classes.where("copies > 1"), "digest").where("id != rep").select("id", "rep").distinct(), "jaccard-copies")
     single = sets.where("n > 0").join(broadcast_if_small(copies.select("id"), broadcast_rows), "id", "left_anti")
+    repeated = stored(light.groupBy("id").count().where("count > 1").select("id"), "jaccard-repeated")
+    if repeated.limit(1).count():  # of rows repeated whole one stays, since each set counts once
+        again = broadcast_if_small(repeated, broadcast_rows)
+        single = single.join(again, "id", "left_anti").union(single.join(again, "id", "left_semi").dropDuplicates(["id"]))
 
-    # Tokens of the prefixes that different sets share, dealt out once and read twice.
+    # How many sets hold each token of the zone; tokens that one set alone holds go.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tokens = single.select("id", "n", F.posexplode("prefix").alias("pos", "token")).repartition(parts, "token")
+    counted = single.select("id", F.explode("zone").alias("token")).withColumn(
+        "held", F.count(F.lit(1)).over(Window.partitionBy("token"))
+    )
+    key = F.shiftleft(F.least("held", F.lit(MOST_SETS)), HASH_BITS).bitwiseOR(F.col("token").bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+    keys = counted.where("held > 1").groupBy("id").agg(F.array_sort(F.collect_list(key)).alias("keys"))
+
+    # Each set's indexed keys: what its prefix holds after the tokens it has alone.
+    heads = single.select("id", "n", F.size("zone").alias("zone"), "rest").join(keys, "id", "left")
+    heads = heads.withColumn("keys", F.coalesce("keys", F.array().cast("array<long>")))
+    heads = heads.withColumn("alone", F.col("zone") - F.size("keys"))
+    room = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("alone")
+    heads = heads.withColumn("room", room.cast("int")).where("room > 0")
+    heads = stored(heads.select("id", "n", "alone", F.slice(F.concat("keys", "rest"), F.lit(1), F.col("room")).alias("prefix")), "jaccard-heads")
+
+    # Keys of the prefixes that different sets share, dealt out once and read twice.
+    tokens = heads.select("id", "n", "alone", F.posexplode("prefix").alias("pos", "token"))
+    tokens = tokens.select("id", "n", (F.col("alone") + F.col("pos")).alias("pos"), "token").repartition(parts, "token")
     shared = tokens.groupBy("token").agg(F.min(F.struct("id", "n", "pos")).alias("least"), F.max("id").alias("most"))
     postings = stored(tokens.join(shared.where(F.col("least")["id"] < F.col("most")).drop("most"), "token"), "jaccard-postings")
 
@@ -180,8 +207,8 @@ def jaccard_groups(
         return fits & (F.least(left, high_left) * (100 + percent) >= (n + low) * percent)
 
     @F.pandas_udf("boolean")
-    def possible(x: pd.Series, xe: pd.Series, nx: pd.Series, y: pd.Series, ye: pd.Series, ny: pd.Series) -> pd.Series:
-        return pd.Series([may_link(*v, percent) for v in zip(x, xe, nx, y, ye, ny, strict=True)], dtype=bool)
+    def possible(x: pd.Series, xa: pd.Series, nx: pd.Series, y: pd.Series, ya: pd.Series, ny: pd.Series) -> pd.Series:
+        return pd.Series([may_link(*v, percent) for v in zip(x, xa, nx, y, ya, ny, strict=True)], dtype=bool)
 
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -211,10 +238,9 @@ def jaccard_groups(
     nth = F.slice(F.array_sort(F.collect_list(F.struct("pos", least["id"].alias("pivot")))), 1, pivots)
     near = near.groupBy("id").agg(F.array_distinct(F.transform(nth, lambda x: x["pivot"])).alias("near"))
     near = near.select(F.col("id").alias("a"), F.explode("near").alias("b"))
-    heads = sets.select("id", "n", "prefix", "early")
-    sided = lambda c, t: heads.select(F.col("id").alias(c), *(F.col(x).alias(x + t) for x in ("n", "prefix", "early")))
+    sided = lambda c, t: heads.select(F.col("id").alias(c), *(F.col(x).alias(x + t) for x in ("n", "prefix", "alone")))
     near = near.join(sided("a", "_a"), "a").join(sided("b", "_b"), "b")
-    near = near.where(possible("prefix_a", "early_a", "n_a", "prefix_b", "early_b", "n_b")).select("a", "b").distinct()
+    near = near.where(possible("prefix_a", "alone_a", "n_a", "prefix_b", "alone_b", "n_b")).select("a", "b").distinct()
     links = verified(near, "jaccard-near")
     first = connected_components(links)
 
@@ -243,16 +269,16 @@ def jaccard_groups(
     def open_group(queries: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(group) and len(queries):
-            parts = [known_part(p, e) for p, e in zip(group["prefix"], group["early"], strict=True)]
-            union, end, low = np.unique(np.concatenate([p for p, _ in parts])), min(e for _, e in parts), int(group["n"].min())
+            union, low = np.unique(np.concatenate(list(group["prefix"]))), int(group["n"].min())
+            end, alone = min(p[-1] for p in group["prefix"]), int(group["alone"].min())
             for q in queries.itertuples():
-                mine, ends = known_part(q.prefix, q.early)
-                mine = mine[mine <= min(ends, end)]
-                lacks = len(mine) - int(_inside(mine, union).sum()) if len(union) else len(mine)
-                if (100 + percent) * (q.n - lacks) < percent * (q.n + low):
+                mine = q.prefix[q.prefix <= end]
+                lacks = int(q.alone) + len(mine) - int(_inside(mine, union).sum())
+                # What both can share at most: the query's tokens that the union may have, and a member's own.
+                if (100 + percent) * min(q.n - lacks, int(group["n"].max()) - alone) < percent * (q.n + low):
                     continue
                 for m in group.itertuples():
-                    if may_link(q.prefix, q.early, q.n, m.prefix, m.early, m.n, percent):
+                    if may_link(q.prefix, q.alone, q.n, m.prefix, m.alone, m.n, percent):
                         found.append((q.id, m.id))
         return pd.DataFrame(found, columns=["a", "b"])
 
@@ -265,7 +291,7 @@ def jaccard_groups(
     light = light.distinct().join(copies, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
     light = light.join(final.withColumnRenamed("id", "rep"), "rep", "left")
     out = light.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    nameless = given.where(F.col("id").isNull()).mapInPandas(summarise, f"id {kind}, n long, digest binary, prefix array<long>, early int")
+    nameless = given.where(F.col("id").isNull()).mapInPandas(summarise, summary)
     out = out.union(nameless.select("id", "n", F.col("id").alias("component_id")))
     return out.withColumnRenamed("id", id_col)
 
