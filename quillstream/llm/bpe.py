@@ -59,19 +59,30 @@ def with_value(value: Column, body) -> Column:
 
 def find(table: Column, key: Column) -> Column:
     """The value of ``key``, or null."""
-    bucket = F.crc32(key.cast("binary")).bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
-    return F.try_element_at(table[bucket], key)
+
+    def look(key: Column) -> Column:
+        bucket = F.crc32(key.cast("binary")).bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
+        return F.try_element_at(table[bucket], key)
+
+    return with_value(key, look)
 
 
 def fold(word: Column, ranks: Column) -> Column:
-    """Token ids of one word of byte characters: merge the pair of lowest rank, leftmost
-    first, until no pair has a rank.
+    """Token ids of one word of byte characters (see ``_fold``).
+
+    The word and its length are each computed once: within lambdas Spark does not share
+    what two expressions have in common."""
+    return with_value(word, lambda w: with_value(F.length(w), lambda n: _fold(w, n, ranks)))
+
+
+def _fold(word: Column, n: Column, ranks: Column) -> Column:
+    """Merge the pair of lowest rank, leftmost first, until no pair has a rank.
 
     The state is the list of boundaries between pieces, each packed with the rank of
     merging across it (rank * SHIFT + place), so that its least element is the next
     merge.  A merge drops a boundary and ranks its two neighbours anew.  The word's two
     ends stand twice, without a rank, so that every boundary has two neighbours a side."""
-    n, last = F.length(word), F.lit(NO_RANK * SHIFT)
+    last = F.lit(NO_RANK * SHIFT)
 
     def packed(low: Column, place: Column, high: Column) -> Column:
         found = find(ranks, F.substr(word, low + 1, high - low)).cast("long") * SHIFT
