@@ -172,6 +172,59 @@ def test_toxicity_and_quality(spark, none):
         assert op(none.select("doc_id", "text"), lab.where("false")).count() == 0
 
 
+def brute_kneser_ney(counts, d=0.75):
+    """Ratio of a word from {word: (ordinary, toxic)}, with no beginning left out."""
+    spell = lambda w: (w + "$")[: toxicity.DEPTH]
+    starts = {}
+    for w, ab in counts.items():
+        for i in range(1, len(spell(w)) + 1):
+            starts.setdefault(spell(w)[:i], np.zeros(2))
+            starts[spell(w)[:i]] += ab
+    below = {}
+    for g, ab in starts.items():
+        t = below.setdefault(g[:-1], np.zeros((2, 2)))
+        t += [ab, ab > 0]
+    kinds = [Counter(("^^" + g)[-k:] for g in starts) for k in (1, 2, 3)]
+
+    def shared(g):
+        same = [n for x, n in kinds[len(g) - 1].items() if x[:-1] == g[:-1]]
+        back = shared(g[1:]) if len(g) > 1 else 1 / (len(kinds[0]) + 1)
+        return (max(kinds[len(g) - 1][g] - d, 0) + d * len(same) * back) / sum(same)
+
+    def word(w):
+        x = 0.0
+        for i in range(1, len(spell(w)) + 1):
+            g = spell(w)[:i]
+            total, n = below.get(g[:-1], np.zeros((2, 2)))
+            if g not in starts:
+                return x + float(np.diff(np.log([d * k / t if t else 1 for t, k in zip(total, n)]))[0])
+            back = shared(("^^" + g)[-3:])
+            x += float(np.diff(np.log([(max(c - d, 0) + d * k * back) / t if t else back for c, t, k in zip(starts[g], total, n)]))[0])
+        return x
+
+    return word
+
+
+def test_toxicity_model_has_every_beginning(spark):
+    r = np.random.default_rng(11)
+    rows = [(i, prose(i, 12) + f" zil{'abcdefgh'[i % 8]}{'xyz'[i % 3]} {'qrstuvw'[i % 7]}once{'abcdefghij'[i % 10]} " + "long" * (i % 6)) for i in range(60)]
+    rows += [(100, "unseen Zilpha"), (101, "zilax zilax ünseen"), (102, None), (103, "... Ω"), (101, "zilax zilax ünseen")]
+    labels = [(i, int(r.random() < 0.4)) for i in range(40)]
+    counts, toxic = {}, dict(labels)
+    for i, t in rows[:30]:
+        for w in set(toxicity.words_of(t)):
+            counts.setdefault(w, np.zeros(2))[toxic[i]] += 1
+    word = brute_kneser_ney(counts)
+    expected = sorted((str(i), round(float(np.mean([word(w) for w in toxicity.words_of(t)] or [0.0])), 5)) for i, t in rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    args = (df, lab, F.col("doc_id") < 30, F.col("doc_id") >= 30, "doc_id", "text", "toxic", 4000)
+    for sent, few in ((200_000, 4_000_000), (5, 0), (0, 4_000_000)):
+        evidence = toxicity.fit_toxicity(*args, sent, few)[0]
+        got = evidence.add(df, "text", "x").collect()
+        assert sorted((str(x["doc_id"]), round(x["x"], 5)) for x in got) == expected
+
+
 def test_urls(spark):
     urls = ["http://com/x", "https://WWW.Example.com/en/1", "http://a.example.com/en/", "http://b.net/es/?q", "net/es/", None, "http://x.org", "http://notexample.com/en/", "http://net/fr/#t", "http://example.com"]
     out = url_filter.op6(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()
