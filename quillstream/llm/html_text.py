@@ -54,10 +54,11 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td"
 
 
 class _Open:
-    __slots__ = ("tag", "start", "drop", "article", "key")
+    __slots__ = ("tag", "start", "drop", "article", "key", "around", "root", "chars")
 
     def __init__(self, tag: str, start: int, drop: bool, article: bool):
         self.tag, self.start, self.drop, self.article, self.key = tag, start, drop, article, None
+        self.around, self.root, self.chars = False, None, 0  # has an article inside; the article around; its text's length
 
 
 def parse(html: str) -> tuple[list[tuple[str, list[_Open]]], list[_Open]]:
@@ -75,11 +76,13 @@ def parse(html: str) -> tuple[list[tuple[str, list[_Open]]], list[_Open]]:
             words = unescape("".join(text)).split()
             text.clear()
             if words:
+                for e in stack:
+                    e.chars += sum(map(len, words))
                 blocks.append((" ".join(words), stack.copy()))
 
     def close(to: int, end: int) -> None:
         for e in stack[to:]:
-            if e.tag not in ROOTS and not (e.article and e.tag in TEXT_TAGS):
+            if e.tag not in ROOTS and not (e.article and e.tag in TEXT_TAGS) and not e.around:
                 e.key = xxhash.xxh64_intdigest(html[e.start : end].encode("utf-8", "replace")) >> 1
         del stack[to:]
 
@@ -123,12 +126,19 @@ def parse(html: str) -> tuple[list[tuple[str, list[_Open]]], list[_Open]]:
             drop = drop or not DROP_WORDS.isdisjoint(_WORDS.findall(label))
         e = _Open(tag, m.start(), drop, article)
         elements.append(e)
+        if tag in ("article", "main"):
+            for x in stack:
+                x.around = True
+        e.root = next((x for x in reversed(stack) if x.tag in ("article", "main")), None)
         if not m[3].rstrip().endswith("/") or tag in ROOTS:
             stack.append(e)
     if pos < len(html):
         text.append(html[pos:])
     flush()
     close(0, len(html))
+    for e in elements:  # what holds most of an article is the article
+        if e.root is not None and 2 * e.chars > e.root.chars:
+            e.key = None
     return blocks, elements
 
 
@@ -136,6 +146,13 @@ def template_keys(html: str) -> set[int]:
     return {e.key for e in parse(html)[1] if e.key is not None}
 
 
+def witness(html: str) -> tuple[int, list[int]]:
+    """(hash of the page's block texts, keys of its elements)."""
+    blocks, elements = parse(html)
+    said = "\n".join(t for t, _ in blocks).encode("utf-8", "replace")
+    return xxhash.xxh64_intdigest(said) >> 1, sorted({e.key for e in elements if e.key is not None})
+
+
 def main_text(html: str, templates) -> str:
     """The blocks outside dropped elements and outside subtrees whose hash is in
     ``templates``, joined by line ends: those of the article if the page marks one."""
@@ -170,7 +187,8 @@ def extract_text(
 
     A subtree is a template if it occurs on at least ``min_pages`` pages of its host and on
     ``min_share`` of them.  A null html is an empty page and gives an empty text; a null
-    url stands for a host of its own.  Pages that repeat are counted and extracted each.
+    url stands for a host of its own.  Pages of a host with the same block
+    texts count once and are extracted each; what holds an article, or most of one, is no template.
     The templates are broadcast if no more than ``broadcast_keys``; otherwise each page
     gets its own by joins.
     """
@@ -182,9 +200,16 @@ def extract_text(
     def keys_of(html: pd.Series) -> pd.Series:
         return html.map(lambda h: sorted(template_keys(h)))
 
-    keys = rows.select("host", F.explode(keys_of("html")).alias("key"))
+    @F.pandas_udf("page long, keys array<long>")
+    def witness_of(html: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([witness(h) for h in html], columns=["page", "keys"])
+
+    # Pages of a host that say the same are one witness.
+    pages_of = rows.select("host", witness_of("html").alias("w")).groupBy("host", "w.page").agg(F.first("w.keys").alias("keys"))
+    pages_of = stored(pages_of, "page-keys")
+    keys = pages_of.select("host", F.explode("keys").alias("key"))
     counts = keys.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    of_host = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    of_host = pages_of.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     found = counts.join(of_host, "host").where(F.col("n") >= F.col("pages") * min_share)
     found = stored(found.select("host", "key"), "page-templates")
     if found.count() <= broadcast_keys:

@@ -245,6 +245,17 @@ def test_html(spark):
     assert html_text.op5(df.where("false")).count() == 0
 
 
+def test_html_copies_are_one_witness(spark):
+    copy = "<body><div><p>first part</p><p>second part</p></div></body>"
+    inside = "<body><article><h1>{0}</h1><div><p>a long text that several pages have</p></div></article></body>"
+    rows = [(i, f"http://a/{i}", copy) for i in range(5)] + [(10 + i, f"http://b/{i}", inside.format(i)) for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for few in (0, 1000):
+        got = {r["page_id"]: r["text"] for r in html_text.extract_text(df, broadcast_keys=few).collect()}
+        assert all(got[i] == "first part\nsecond part" for i in range(5))
+        assert all(got[10 + i] == f"{i}\na long text that several pages have" for i in range(5))
+
+
 def test_pipeline_keeps_one_of_each_group(spark):
     import corpus_pipeline as c
 
