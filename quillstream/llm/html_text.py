@@ -181,12 +181,13 @@ def extract_text(
     html_col: str = "html",
     min_pages: int = 3,
     min_share: float = 0.2,
+    enough_pages: int = 100,
     broadcast_keys: int = 1_000_000,
 ) -> DataFrame:
     """(id, url, text) for every row.
 
     A subtree is a template if it occurs on at least ``min_pages`` pages of its host and on
-    ``min_share`` of them.  A null html is an empty page and gives an empty text; a null
+    ``min_share`` of them, or on ``enough_pages`` however large the host.  A null html is an empty page and gives an empty text; a null
     url stands for a host of its own.  Pages of a host with the same block
     texts count once and are extracted each; what holds an article, or most of one, is no template.
     The templates are broadcast if no more than ``broadcast_keys``; otherwise each page
@@ -210,7 +211,7 @@ def extract_text(
     keys = pages_of.select("host", F.explode("keys").alias("key"))
     counts = keys.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     of_host = pages_of.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    found = counts.join(of_host, "host").where(F.col("n") >= F.col("pages") * min_share)
+    found = counts.join(of_host, "host").where(F.col("n") >= F.least(F.col("pages") * min_share, F.lit(float(enough_pages))))
     found = stored(found.select("host", "key"), "page-templates")
     if found.count() <= broadcast_keys:
         by_host: dict[int, list[int]] = {}

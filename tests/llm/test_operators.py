@@ -256,6 +256,13 @@ def test_html_copies_are_one_witness(spark):
         assert all(got[10 + i] == f"{i}\na long text that several pages have" for i in range(5))
 
 
+def test_html_templates_of_a_large_host(spark):
+    box = "<div>see also this</div>"
+    rows = [(i, f"http://a/{i}", f"<body>{box if i < 150 else ''}<p>text {i}</p></body>") for i in range(1000)]
+    got = html_text.op5(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r["text"] == f"text {r['page_id']}" for r in got)
+
+
 def test_pipeline_keeps_one_of_each_group(spark):
     import corpus_pipeline as c
 
