@@ -26,7 +26,6 @@ _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S
 )
 _LABEL = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_WORDS = re.compile(r"[a-z]+")
 
 #: Elements whose content is not markup, up to their end tag.
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
@@ -48,6 +47,8 @@ DROP_WORDS = frozenset(
 )
 #: Blocks that the article itself consists of: inside it they are never taken for a template.
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption".split())
+#: Inside an article these name its own head.
+HEAD_WORDS = frozenset("header banner masthead".split())
 ROOTS = frozenset("html body article main".split())
 #: An open element of the key's kind ends where one of these begins.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
@@ -61,6 +62,14 @@ class _Open:
         self.around, self.root, self.chars = False, None, 0  # has an article inside; the article around; its text's length
 
 
+def dropped(attributes: str, article: bool) -> bool:
+    """Whether a whole class, id or role says that this is no article text."""
+    if not attributes:
+        return False
+    found = DROP_WORDS.intersection(" ".join(x[1] or x[2] or x[3] for x in _LABEL.findall(attributes)).lower().split())
+    return bool(found - HEAD_WORDS if article else found)
+
+
 def parse(html: str) -> tuple[list[tuple[str, list[_Open]]], list[_Open]]:
     """(text blocks in page order, each with the elements around it; all elements).
 
@@ -70,6 +79,7 @@ def parse(html: str) -> tuple[list[tuple[str, list[_Open]]], list[_Open]]:
     elements: list[_Open] = []
     blocks: list[tuple[str, list[_Open]]] = []
     text: list[str] = []
+    hidden: list = []  # a dropped inline element: its tag, how often it is open, the elements around it
 
     def flush() -> None:
         if text:
@@ -85,20 +95,29 @@ def parse(html: str) -> tuple[list[tuple[str, list[_Open]]], list[_Open]]:
             if e.tag not in ROOTS and not (e.article and e.tag in TEXT_TAGS) and not e.around:
                 e.key = xxhash.xxh64_intdigest(html[e.start : end].encode("utf-8", "replace")) >> 1
         del stack[to:]
+        if hidden and len(stack) < hidden[2]:  # its end tag was left out
+            hidden.clear()
 
     pos = 0
     while m := _TOKEN.search(html, pos):
         if m.start() > pos:
-            text.append(html[pos : m.start()])
+            if not hidden:
+                text.append(html[pos : m.start()])
         pos = m.end()
         tag = (m[2] or "").lower()
         if not tag:
-            if m[0].startswith("<![CDATA["):
+            if m[0].startswith("<![CDATA[") and not hidden:
                 text.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
             continue
         if tag in INLINE:
-            if tag == "br":
+            if tag == "br" and not hidden:
                 text.append(" ")
+            elif hidden and tag == hidden[0]:
+                hidden[1] += -1 if m[1] else 1
+                if not hidden[1]:
+                    hidden.clear()
+            elif not hidden and not m[1] and tag not in VOID and dropped(m[3], bool(stack and stack[-1].article)):
+                hidden[:] = tag, 1, len(stack)
             continue
         flush()
         if m[1]:
@@ -119,20 +138,20 @@ def parse(html: str) -> tuple[list[tuple[str, list[_Open]]], list[_Open]]:
                 break
             if stack[i].tag in ("div", "section", "article", "main", "table", "ul", "ol", "dl", "body"):
                 break
-        label = " ".join(x[1] or x[2] or x[3] for x in _LABEL.findall(m[3])).lower() if m[3] else ""
         article = bool(stack and stack[-1].article) or tag in ("article", "main")
         drop = tag in DROP_TAGS or (tag == "header" and not article)
-        if label and tag not in ("html", "body", "main"):
-            drop = drop or not DROP_WORDS.isdisjoint(_WORDS.findall(label))
+        if tag not in ROOTS:
+            drop = drop or dropped(m[3], article)
         e = _Open(tag, m.start(), drop, article)
         elements.append(e)
         if tag in ("article", "main"):
             for x in stack:
                 x.around = True
+                x.drop = x.drop and (x.tag in DROP_TAGS or x.tag == "header")  # never by its label
         e.root = next((x for x in reversed(stack) if x.tag in ("article", "main")), None)
         if not m[3].rstrip().endswith("/") or tag in ROOTS:
             stack.append(e)
-    if pos < len(html):
+    if pos < len(html) and not hidden:
         text.append(html[pos:])
     flush()
     close(0, len(html))

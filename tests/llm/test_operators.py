@@ -263,6 +263,20 @@ def test_html_templates_of_a_large_host(spark):
     assert all(r["text"] == f"text {r['page_id']}" for r in got)
 
 
+def test_html_labels_are_whole(spark):
+    pages = {
+        '<body><article class="post comments-open"><p>a</p></article></body>': "a",
+        '<body><div class="content with-sidebar"><p>a</p></div><div id="main" class="no-sidebar"><p>b</p></div></body>': "a\nb",
+        '<body><article><header class="entry-header"><h1>t</h1></header><div class="header">u</div><p>a</p></article></body>': "t\nu\na",
+        '<body><div class="widget"><main><p>a</p></main></div></body>': "a",
+        '<body><p>a <span class="ad">buy <span>now</span></span>b <a class="share">x</a></p><p><i class=ad>y</p><p>c</p></body>': "a b\nc",
+        '<body><div class="big ad">x</div><p>a</p></body>': "a",
+    }
+    df = spark.createDataFrame([(i, f"http://h{i}/", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.op5(df).collect()}
+    assert [got[i] for i in range(len(pages))] == list(pages.values())
+
+
 def test_pipeline_keeps_one_of_each_group(spark):
     import corpus_pipeline as c
 
