@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-A text is cut into words by the vocabulary's pattern.  The words of all texts are
-counted, and a fold of ranked merges turns each distinct frequent word's bytes into
-token ids once; rarer words are folded where they stand, each of them being almost
-unique.  Both use one literal rank map.  Texts are put together from the frequent words'
-ids in Arrow batches, which leave a gap for each rarer word.
+A text is cut into words by the vocabulary's pattern.  Documents are held in slices of
+bounded size, each with the list of its distinct words; equal words of all slices meet in
+one row, and a fold of ranked merges over a literal rank map turns each distinct word's
+bytes into token ids once.  The ids go back to the slices, whose documents, written in
+buckets of slices beforehand, are put together from them.  Nothing passes the driver, and
+no task holds more words than a slice or a partition has.
 
 Bytes are held as characters U+0000 to U+00FF (ISO-8859-1), one for each byte, since
 Spark's string functions then cut and join them byte by byte.
@@ -18,18 +19,17 @@ from __future__ import annotations
 import base64
 import json
 import zlib
-from collections.abc import Iterator
-from itertools import chain, repeat
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-import regex
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstream.llm.common import stored
+from quillstream.llm.common import stored_in_buckets
 
 BUCKETS = 1 << 16
 NO_RANK = 2**31 - 1
@@ -129,24 +129,140 @@ def words_of(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0))
 
 
-def python_pattern(pattern: str) -> str:
-    """The same pattern for the regex library, white space again being Unicode's."""
-    return pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
-
-
-def _runs(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """A list column of ``values``, cut at ``ends``."""
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values))
+#: A word's place: the slice's number in the upper bits, the word's number in the slice below.
+NUMBER_BITS = 28
+#: Slices of one partition are numbered from its number times this.
+PART_SLICES = 1 << 13
+#: Partitions whose words are folded together; a word's places are gathered within such a span.
+SPAN_PARTS = 4096
+#: Words of a row of the dictionary, places that are packed at once, words looked up at once.
+WORDS_A_ROW, PLACES_AT_ONCE, LOOKED_UP_AT_ONCE = 8192, 1 << 20, 1 << 20
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """The four bytes of each number, all first bytes first."""
+    return numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<i4").reshape(-1)
+
+
+def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` with the given starts and sizes, one after the other."""
+    shift = starts - (np.cumsum(sizes) - sizes)
+    return values[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))]
+
+
+def _edges(sizes: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Runs of neighbours, each of about ``limit`` in all or of one element."""
+    marks = np.flatnonzero(np.diff(np.cumsum(sizes) // limit, append=-1)) + 1
+    return list(zip([0, *marks[:-1].tolist()], marks.tolist(), strict=True)) if len(sizes) else []
+
+
+def cut_slices(rows: DataFrame, words_col: str, slice_bytes: int) -> DataFrame:
+    """A stored table that holds, of about each ``slice_bytes`` of words (or one document),
+
+    * the distinct words, the commonest first, as rows of (__slice, __start, __words), and
+    * every document, with ``words_col`` replaced by the numbers of its words (__idx),
+
+    bucketed by slice, so that what is found for a slice's words meets its documents
+    without moving the documents again."""
+    names = [c for c in rows.columns if c != words_col]
+    at = rows.columns.index(words_col)
+
+    def emit(parts: list[pa.RecordBatch], number: int) -> Iterator[pa.RecordBatch]:
+        kinds = [parts[0].schema.field(c).type for c in names]
+        coded = pa.concat_arrays([p.column(at).flatten() for p in parts]).dictionary_encode()
+        found = coded.indices.to_numpy()
+        if len(coded.dictionary) >= 1 << NUMBER_BITS:
+            raise ValueError("a document with too many different words")
+        order = np.argsort(-np.bincount(found, minlength=len(coded.dictionary)), kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        words = coded.dictionary.take(pa.array(order))
+        done = 0
+        for p in parts:
+            ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(p.column(at)), 0).to_numpy()) + done
+            idx = [_planes(place[found[a:b]]) for a, b in zip([done, *ends[:-1]], ends, strict=True)]
+            done = int(ends[-1])
+            none = [pa.nulls(len(p), pa.int32()), pa.nulls(len(p), pa.list_(pa.string()))]
+            own = [p.column(p.schema.get_field_index(c)) for c in names]
+            yield pa.RecordBatch.from_arrays([pa.array([number] * len(p), pa.int64()), *own, pa.array(idx, pa.binary()), *none], names=out)
+        starts = np.arange(0, len(words), WORDS_A_ROW)
+        if len(starts):
+            lists = pa.ListArray.from_arrays(pa.array([*starts, len(words)], pa.int32()), words)
+            none = [pa.nulls(len(starts), k) for k in kinds] + [pa.nulls(len(starts), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array([number] * len(starts), pa.int64()), *none, pa.array(starts, pa.int32()), lists], names=out)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = TaskContext.get().partitionId() * PART_SLICES, [], 0
+        last = number + PART_SLICES
+        for b in batches:
+            lists = b.column(at)
+            ends = pa.compute.binary_length(lists.flatten()).to_numpy(zero_copy_only=False).cumsum(dtype=np.int64)
+            of_doc = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(), dtype=np.int64)
+            sizes = np.diff(np.concatenate([[0], ends])[of_doc], prepend=0)
+            for low, high in _edges(sizes, slice_bytes):
+                held.append(b.slice(low, high - low))
+                size += int(sizes[low:high].sum())
+                if size >= slice_bytes:
+                    yield from emit(held, number)
+                    number, held, size = min(number + 1, last), [], 0
+                    if number == last:
+                        raise ValueError("a partition with too many slices: use more partitions or larger slices")
+        if held:
+            yield from emit(held, number)
+
+    out = ["__slice", *names, "__idx", "__start", "__words"]
+    schema = T.StructType([T.StructField("__slice", T.LongType()), *(T.StructField(c, rows.schema[c].dataType) for c in names)])
+    schema = schema.add("__idx", T.BinaryType()).add("__start", T.IntegerType()).add("__words", T.ArrayType(T.StringType()))
+    return stored_in_buckets(rows.mapInArrow(cut, schema), "bpe-slices", "__slice")
+
+
+def fold_words(cut: DataFrame, ranks: dict[str, int]) -> DataFrame:
+    """(__slice, packed): the ids of all words of each slice, in several rows.
+
+    Equal words of all slices meet in one row, with their places, and are folded once."""
+    words = cut.where("__words is not null").select("__slice", "__start", F.posexplode("__words").alias("n", "word"))
+    number = F.shiftleft("__slice", NUMBER_BITS) + F.col("__start") + F.col("n")
+    words = words.select("word", F.floor(F.col("__slice") / (PART_SLICES * SPAN_PARTS)).alias("span"), number.alias("place"))
+    words = words.repartition("word", "span").groupBy("word", "span").agg(F.collect_list("place").alias("places"))
+    ids = with_value(as_lookup(ranks, "int"), lambda m: fold(as_bytes(F.col("word")), m))
+
+    def packed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        places, ids = (pa.concat_arrays([p.column(c) for p in parts]) for c in ("places", "ids"))
+        sizes = pa.compute.list_value_length(ids).to_numpy().astype(np.int64)
+        values, place = ids.flatten().to_numpy(), places.flatten().to_numpy()
+        word = np.repeat(np.arange(len(sizes)), pa.compute.list_value_length(places).to_numpy())
+        order = np.argsort(place, kind="stable")
+        place, word = place[order], word[order]
+        ids_of, slices = _gather(values, (np.cumsum(sizes) - sizes)[word], sizes[word]), place >> NUMBER_BITS
+        marks = np.flatnonzero(np.diff(slices, append=-1)) + 1
+        ends, rows, a, i = np.cumsum(sizes[word]), [], 0, 0
+        for b in marks.tolist():
+            j = int(ends[b - 1])
+            steps = np.diff(place[a:b] & ((1 << NUMBER_BITS) - 1), prepend=0)
+            rows.append(np.array([b - a], "<i8").tobytes() + _planes(np.concatenate([steps, sizes[word[a:b]], ids_of[i:j]])))
+            a, i = b, j
+        lengths = pa.array([len(r) for r in rows], pa.int64())
+        codec = pa.Codec("zstd")
+        return pa.RecordBatch.from_arrays(
+            [pa.array(slices[marks - 1], pa.int64()), lengths, pa.array([codec.compress(r, asbytes=True) for r in rows], pa.binary())], names=["__slice", "size", "packed"]
+        )
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += len(b.column("places").flatten())
+            if n >= PLACES_AT_ONCE:
+                yield packed(held)
+                held, n = [], 0
+        if n:
+            yield packed(held)
 
-def frequent_table(often: DataFrame, ids_col: str) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-    """Number by word, and where each number's ids end in the list of all ids."""
-    got = often.toArrow()
-    ids = got.column(ids_col).combine_chunks()
-    ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
-    flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-    sizes = pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
-    return {w: i for i, w in enumerate(got.column("word").to_pylist())}, np.cumsum(sizes), flat
+    return words.select("places", ids.alias("ids")).mapInArrow(pack, "__slice long, size long, packed binary")
 
 
 def bpe_encode(
@@ -155,78 +271,49 @@ def bpe_encode(
     pattern: str,
     text_col: str = "text",
     out_col: str = "ids",
-    frequent_words: int = 1 << 20,
+    keep: Sequence[str] | None = None,
+    slice_bytes: int = 32 << 20,
 ) -> DataFrame:
     """Add the token ids of the whole text to every row.
 
-    A null or empty text has no ids; every row, repeated or not, keeps its other columns.
-    ``ranks`` (see ``read_ranks``) must rank all 256 bytes.  ``frequent_words`` bounds the
-    words that are folded beforehand and sent along: those that occur at least c times, c
-    the smallest count (2 or more) that leaves no more than that many.  Which words are
-    folded early changes nothing in the result.
+    A null or empty text has no ids; every row, repeated or not, keeps its other columns
+    (those in ``keep``, all by default).  A column named like ``out_col`` is replaced; no
+    column may begin with two underscores.  ``ranks`` (see ``read_ranks``) must rank all 256
+    bytes.  ``slice_bytes`` bounds the text whose words a task holds at once.
     """
-    rank_map = as_lookup(ranks, "int")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    words = docs.select(F.explode(words_of(text, pattern)).alias("word"))
-    counts = stored(words.groupBy("word").count().where("count > 1"), "bpe-words")
-    # At most a few hundred rows: counts in steps of an eighth of a power of two.
-    step = F.floor(F.log2("count") * 8).cast("int")
-    least, total = 1 << 30, 0
-    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
-        total += r["count"]
-        if total > frequent_words:
-            break
-        least = r["step"]
-    often = counts.where(step >= least).select("word").repartition(4 * docs.sparkSession.sparkContext.defaultParallelism)
-    folded = with_value(rank_map, lambda m: fold(as_bytes(F.col("word")), m))
-    often = stored(often.select("word", folded.alias("ids")), "bpe-frequent")  # frequent_words rows at most
-    known = docs.sparkSession.sparkContext.broadcast(frequent_table(often, "ids"))
-    cut = python_pattern(pattern)
-
-    def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """Parts of a batch of about 4 MB of text (or one document), which bounds the words held."""
-        size = pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        marks = np.flatnonzero(np.diff(np.cumsum(size) >> 22, prepend=0, append=-1))
-        for low, high in zip([0, *marks[:-1]], marks, strict=True):
-            if high > low:
-                yield batch.slice(low, high - low)
-
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of the frequent words' ids, and the rarer words between them."""
-        number, ends, flat = known.value
-        starts, find_all = ends - np.diff(ends, prepend=0), regex.compile(cut).findall
-        for b in chain.from_iterable(map(slices, batches)):
-            found = [find_all(t) if t else [] for t in b.column(at).to_pylist()]
-            words = list(chain.from_iterable(found))
-            doc_ends = np.cumsum([len(f) for f in found], dtype=np.int64)
-            which = np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))
-            gaps = np.flatnonzero(which < 0)
-            size = np.where(which < 0, 0, ends[which] - starts[which]) if len(ends) else np.zeros(len(words), np.int64)
-            after = np.cumsum(size)
-            ids = np.zeros(0, np.int32)
-            if len(ends) and len(words):
-                shift = np.where(which < 0, 0, starts[which]) - (after - size)
-                ids = flat[np.arange(after[-1]) + np.repeat(shift, size)]
-            before = np.concatenate([[0], after])
-            # Each document has one run more than it has gaps: runs end at gaps and at its end.
-            gap_docs = np.searchsorted(doc_ends, gaps, side="right")
-            run_ends = np.sort(np.concatenate([before[gaps], before[doc_ends]]), kind="stable")
-            gap_ends = np.searchsorted(gap_docs, np.arange(len(found)), side="right")
-            runs = _runs(ids, run_ends)
-            nested = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], gap_ends + np.arange(1, len(found) + 1)]).astype(np.int32)), runs)
-            rare = pa.array([words[i] for i in gaps], pa.string())
-            rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], gap_ends]).astype(np.int32)), rare)
-            yield pa.RecordBatch.from_arrays([*b.columns, nested, rare], names=[*names, "__runs", "__rare"])
-
-    names, at = docs.columns, docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields])
-    schema = schema.add("__runs", T.ArrayType(T.ArrayType(T.IntegerType()))).add("__rare", T.ArrayType(T.StringType()))
-    cut_up = docs.mapInArrow(assemble, schema)
-    rare = with_value(rank_map, lambda m: F.transform("__rare", lambda w: fold(as_bytes(w), m)))
-    rare = F.concat(rare, F.array(F.array().cast("array<int>")))
-    ids = F.flatten(F.zip_with("__runs", rare, lambda r, w: F.concat(r, w)))
-    ids = F.when(F.size("__rare") == 0, F.col("__runs")[0]).otherwise(ids)
-    return cut_up.withColumn(out_col, ids).drop("__runs", "__rare")
+    own = [c for c in (docs.columns if keep is None else keep) if c != out_col]
+    if taken := [c for c in own if c.startswith("__")]:
+        raise ValueError(f"columns named like the operator's own: {taken}")
+    cut = cut_slices(docs.select(*own, words_of(F.coalesce(F.col(text_col), F.lit("")), pattern).alias("__cut")), "__cut", slice_bytes)
+    rows = cut.where("__idx is not null").select("__slice", *own, "__idx")
+    schema = T.StructType([*rows.select(*own).schema.fields]).add(out_col, T.ArrayType(T.IntegerType()))
+
+    def assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
+        """Each document's words replaced by their ids."""
+        codec, parts = pa.Codec("zstd"), []
+        for size, packed in zip(words.column("size").to_pylist(), words.column("packed").to_pylist(), strict=True):
+            raw = codec.decompress(packed, size, asbytes=True)
+            n = int(np.frombuffer(raw, "<i8", 1)[0])
+            numbers = _numbers(raw[8:])
+            parts.append((np.cumsum(numbers[:n]), numbers[n : 2 * n], numbers[2 * n :]))
+        place, sizes, ids = (np.concatenate(x) if parts else np.zeros(0, np.int32) for x in (zip(*parts, strict=True) if parts else [(), (), ()]))
+        order = np.argsort(place)
+        if not np.array_equal(place[order], np.arange(len(place))):
+            raise ValueError("the words of a slice are not complete")
+        starts, sizes = (np.cumsum(sizes, dtype=np.int64) - sizes)[order], sizes[order].astype(np.int64)
+        cut = docs.column("__idx").combine_chunks()
+        cut = cut if isinstance(cut, pa.Array) else pa.concat_arrays(cut.chunks)
+        n = pa.compute.binary_length(cut).to_numpy() // 4
+        runs = []
+        for low, high in _edges(n, LOOKED_UP_AT_ONCE):
+            at = np.concatenate([_numbers(x) for x in cut.slice(low, high - low).to_pylist()])
+            found = sizes[at]
+            ends = np.concatenate([[0], np.cumsum(found)])[np.concatenate([[0], np.cumsum(n[low:high])])]
+            runs.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(_gather(ids, starts[at], found))))
+        return pa.Table.from_arrays([*(docs.column(c) for c in own), pa.chunked_array(runs, pa.list_(pa.int32()))], names=[*own, out_col])
+
+    words = fold_words(cut, ranks)
+    return rows.groupBy("__slice").cogroup(words.groupBy("__slice")).applyInArrow(assemble, schema)
 
 
 def bpe_decode(docs: DataFrame, ranks: dict[str, int], ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -253,7 +340,7 @@ def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[dict[str, int
 
 def op9(docs: DataFrame) -> DataFrame:
     ranks, pattern = vocabulary()
-    encoded = bpe_encode(docs.select("doc_id", "text"), ranks, pattern)
+    encoded = bpe_encode(docs, ranks, pattern, keep=["doc_id"])
     both = bpe_decode(encoded, ranks)
     return both.select(
         "doc_id",

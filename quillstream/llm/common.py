@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         sc.setCheckpointDir(folder)
     return folder
@@ -38,12 +40,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    _delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_in_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
+    """The same, in as many buckets of ``key`` as shuffles have partitions, so that a later
+    grouping by it moves none of the rows.  The table's name lasts only until it is read."""
+    spark = df.sparkSession
+    unique = f"{name}-{uuid.uuid4().hex}"
+    path, table = f"{shared_dir(spark)}/{unique}", unique.replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", path).saveAsTable(table)
+    _delete_on_exit(spark, path)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # an external table: its files stay
+    return out
+
+
+def _delete_on_exit(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only if ``df`` (a stored table) has at most ``max_rows`` rows."""
     return F.broadcast(df) if df.count() <= max_rows else df
