@@ -136,7 +136,7 @@ PART_SLICES = 1 << 13
 #: Partitions whose words are folded together; a word's places are gathered within such a span.
 SPAN_PARTS = 4096
 #: Words of a row of the dictionary, places that are packed at once, words looked up at once.
-WORDS_A_ROW, PLACES_AT_ONCE, LOOKED_UP_AT_ONCE = 8192, 1 << 20, 1 << 20
+WORDS_A_ROW, PLACES_AT_ONCE, LOOKED_UP_AT_ONCE = 8192, 1 << 19, 1 << 17
 
 
 def _planes(numbers: np.ndarray) -> bytes:
@@ -150,8 +150,11 @@ def _numbers(planes: bytes) -> np.ndarray:
 
 def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The runs of ``values`` with the given starts and sizes, one after the other."""
-    shift = starts - (np.cumsum(sizes) - sizes)
-    return values[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))]
+    total = int(sizes.sum())
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
+    at = np.repeat((starts - (np.cumsum(sizes) - sizes)).astype(kind), sizes)
+    at += np.arange(total, dtype=kind)
+    return values[at]
 
 
 def _edges(sizes: np.ndarray, limit: int) -> list[tuple[int, int]]:
@@ -213,6 +216,8 @@ def cut_slices(rows: DataFrame, words_col: str, slice_bytes: int) -> DataFrame:
                         raise ValueError("a partition with too many slices: use more partitions or larger slices")
         if held:
             yield from emit(held, number)
+        del held
+        pa.default_memory_pool().release_unused()  # the worker goes on with other tasks
 
     out = ["__slice", *names, "__idx", "__start", "__words"]
     schema = T.StructType([T.StructField("__slice", T.LongType()), *(T.StructField(c, rows.schema[c].dataType) for c in names)])
@@ -261,6 +266,8 @@ def fold_words(cut: DataFrame, ranks: dict[str, int]) -> DataFrame:
                 held, n = [], 0
         if n:
             yield packed(held)
+        del held
+        pa.default_memory_pool().release_unused()
 
     return words.select("places", ids.alias("ids")).mapInArrow(pack, "__slice long, size long, packed binary")
 
