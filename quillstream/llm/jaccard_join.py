@@ -288,7 +288,7 @@ def jaccard_groups(
     final = connected_components(links.union(more)) if more.limit(1).count() else first
 
     # Back to the rows: copies follow their representative.
-    light = light.distinct().join(copies, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
+    light = light.join(copies, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
     light = light.join(final.withColumnRenamed("id", "rep"), "rep", "left")
     out = light.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     nameless = given.where(F.col("id").isNull()).mapInPandas(summarise, summary)
