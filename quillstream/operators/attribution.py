@@ -80,3 +80,18 @@ def attr_kpis(spark, d):
 @query("attr_kpis_by_product", _X_SQL + _rates("product"))
 def attr_kpis_by_product(spark, d):
     return kpis(attributed(spark, d), "product")
+
+
+#: Ways to find the touch that a purchase is due to.
+MODELS = {"last_touch": last_touch}
+
+
+@query("attr_kpis_totals", _X_SQL.rstrip() + ", y AS (SELECT * REPLACE ('total' AS experiment_group) FROM x UNION ALL SELECT * REPLACE (CASE WHEN product = 9 THEN 'unknown' ELSE product::VARCHAR END AS experiment_group) FROM x) " + _rates("experiment_group").replace("FROM x ", "FROM y "))
+def attr_kpis_totals(spark, d, model: str = "last_touch"):
+    """KPIs by an attribute, here the product, 9 being none; what has none is 'unknown', and
+    all rows together are 'total'."""
+    if model not in MODELS:
+        raise ValueError(f"no attribution model {model}")
+    x = attributed(spark, d)
+    named = F.coalesce(F.when(F.col("product") != 9, F.col("product").cast("string")), F.lit("unknown"))
+    return kpis(x.withColumn("experiment_group", F.explode(F.array(F.lit("total"), named))), "experiment_group")

@@ -97,18 +97,26 @@ def user_profile(spark, d):
 @query("retrieve_topk", """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, vec_id, round(list_cosine_similarity(a, embedding::DOUBLE[]), 4) AS score FROM q JOIN embeddings ON vec_id <> query_id)
 SELECT query_id, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""")
-def retrieve_topk(spark, d):
+def retrieve_topk(spark, d, block_queries: int = 512, part_rows: int = 1 << 16, k: int = 20):
     """The 20 nearest by cosine (4 places) for every row whose id is divisible by 50, against
-    all rows: queries are dealt out in blocks that every row of data is joined with."""
+    all rows.  Blocks of queries meet parts of the data, as many of either as there are rows
+    for; each query keeps the best of a part before the parts are put together."""
     e = table(spark, d, "embeddings")
     norm = F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x)
     v = e.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.sqrt(norm).alias("n"))
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("a"), F.col("n").alias("m"), F.pmod(F.xxhash64("vec_id"), F.lit(16)).alias("block"))
-    x = v.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
+    asked = F.col("vec_id") % 50 == 0
+    sizes = e.agg(F.count(F.lit(1)).alias("rows"), F.count_if(asked).alias("queries")).first()
+    blocks, parts = (max(1, -(-n // size)) for n, size in ((sizes["queries"], block_queries), (sizes["rows"], part_rows)))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
+    q = v.where(asked).select(F.col("vec_id").alias("query_id"), F.col("v").alias("a"), F.col("n").alias("m"), dealt(blocks).alias("block"), upto(parts).alias("part"))
+    x = v.withColumn("part", dealt(parts)).withColumn("block", upto(blocks))
     dot = F.aggregate(F.zip_with("a", "v", lambda a, b: a * b), F.lit(0.0), lambda a, y: a + y)
-    s = x.join(q, "block").where("vec_id != query_id").select("query_id", "vec_id", F.round(dot / (F.col("m") * F.col("n")), 4).alias("score"))
-    r = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return s.withColumn("r", r).where("r <= 20").drop("r")
+    s = x.join(q, ["block", "part"]).where("vec_id != query_id")
+    s = s.select("query_id", "part", "vec_id", F.round(dot / (F.col("m") * F.col("n")), 4).alias("score"))
+    best = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(F.desc("score"), "vec_id"))
+    s = s.withColumn("r", best("query_id", "part")).where(F.col("r") <= k).drop("r", "part")
+    return s.withColumn("r", best("query_id")).where(F.col("r") <= k).drop("r")
 
 
 @query("retrieve_chunks", "SELECT doc_id, left(text, 500) AS chunk, round(n_chars / 1000.0::DOUBLE, 4) AS score FROM documents WHERE n_chars > 0")

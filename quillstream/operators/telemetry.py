@@ -53,11 +53,16 @@ def tool_status_pivot(spark, d):
 SELECT tool, max(elapsed_ms) FILTER (i = least(n * 50 // 100, n - 1)) AS p50, max(elapsed_ms) FILTER (i = least(n * 95 // 100, n - 1)) AS p95,
  max(elapsed_ms) FILTER (i = least(n * 99 // 100, n - 1)) AS p99 FROM o GROUP BY tool""")
 def tool_latency_percentiles(spark, d):
-    """The element min(n * p // 100, n - 1) of each tool's sorted latencies, from counts by
-    value that are combined before the shuffle."""
+    """The element min(n * p // 100, n - 1) of each tool's sorted latencies.  Counts by value are
+    combined before the shuffle and summed by part of 16 ms, so that the window that orders
+    all values of a tool sees parts, and the windows over values one part each."""
     by = tool_records(spark, d).groupBy("tool", "elapsed_ms").agg(F.count(F.lit(1)).alias("c"))
-    w = W.partitionBy("tool")
-    by = by.withColumn("upto", F.sum("c").over(w.orderBy("elapsed_ms"))).withColumn("n", F.sum("c").over(w))
+    by = by.withColumn("part", F.floor(F.col("elapsed_ms") / 16))
+    parts = by.groupBy("tool", "part").agg(F.sum("c").alias("pc"))
+    of_tool = W.partitionBy("tool")
+    parts = parts.select("tool", "part", (F.sum("pc").over(of_tool.orderBy("part")) - F.col("pc")).alias("before"), F.sum("pc").over(of_tool).alias("n"))
+    upto = F.col("before") + F.sum("c").over(W.partitionBy("tool", "part").orderBy("elapsed_ms"))
+    by = by.join(parts, ["tool", "part"]).withColumn("upto", upto)
     at = lambda p: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1), F.col("elapsed_ms")))
     return by.groupBy("tool").agg(at(50).alias("p50"), at(95).alias("p95"), at(99).alias("p99"))
 
@@ -100,11 +105,10 @@ def trace_recent(spark, d):
     return t.orderBy(F.desc("started"), F.desc("trace_id")).limit(20)
 
 
-@query("trace_ring_buffer", f"WITH {T_SQL} SELECT trace_id, user_id FROM t QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY trace_id DESC) <= 5")
-def trace_ring_buffer(spark, d):
-    """The newest five traces of each user stay."""
-    n = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("trace_id")))
-    return traces(spark, d).select("trace_id", "user_id", n.alias("n")).where("n <= 5").drop("n")
+@query("trace_ring_buffer", f"WITH {T_SQL} SELECT trace_id, user_id FROM t ORDER BY started DESC, trace_id DESC LIMIT 500")
+def trace_ring_buffer(spark, d, capacity: int = 500):
+    """The newest 500 traces stay, whoever they are of."""
+    return traces(spark, d).orderBy(F.desc("started"), F.desc("trace_id")).limit(capacity).select("trace_id", "user_id")
 
 
 @query("ab_compare", f"""WITH {T_SQL}, a AS (SELECT CASE WHEN user_id % 4 = 0 THEN 'x_canary' ELSE 'control' END AS arm, count(*) AS n,
@@ -199,8 +203,17 @@ def dedup_gap(spark, d):
 @query("cache_hits", f"""WITH {R_SQL}, g AS (SELECT tool, date_diff('microsecond', lag(ts) OVER (PARTITION BY tool, k ORDER BY ts, event_id), ts) AS gap FROM r)
 SELECT tool, count(*) AS calls, count(*) FILTER (gap < 300000000) AS fresh, count(*) FILTER (gap >= 300000000) AS stale, count(*) FILTER (gap IS NULL) AS cold FROM g GROUP BY 1""")
 def cache_hits(spark, d):
-    before = F.lag("ts").over(W.partitionBy("tool", "k").orderBy("ts", "event_id"))
-    g = tool_records(spark, d).select("tool", F.timestamp_diff("MICROSECOND", before, F.col("ts")).alias("gap"))
+    """Calls by the age of the one before with the same key.  Few keys may hold all calls, so
+    the window runs inside a key's day, and the first call of a day finds its predecessor in
+    the last moments of the days before, of which there is one row for each day."""
+    r = tool_records(spark, d).select("tool", "k", "day", "ts", "event_id")
+    w = W.partitionBy("tool", "k", "day").orderBy("ts", "event_id")
+    inside = r.withColumn("before", F.lag("ts").over(w))
+    lasts = r.groupBy("tool", "k", "day").agg(F.max("ts").alias("last"))
+    lasts = lasts.select("tool", "k", "day", F.lag("last").over(W.partitionBy("tool", "k").orderBy("day")).alias("carried"))
+    g = inside.join(lasts, ["tool", "k", "day"])
+    gap = F.timestamp_diff("MICROSECOND", F.coalesce("before", "carried"), F.col("ts"))
+    g = g.select("tool", gap.alias("gap"))
     return g.groupBy("tool").agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("gap") < 300_000_000).alias("fresh"), F.count_if(F.col("gap") >= 300_000_000).alias("stale"), F.count_if(F.col("gap").isNull()).alias("cold"))
 
 

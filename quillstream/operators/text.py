@@ -73,13 +73,31 @@ _FLAGS = ", ".join(f"CASE WHEN regexp_matches(text, '(?i){_sql_pattern(p)}') THE
 _SEVERITY = ", ".join(f"CASE WHEN regexp_matches(text, '(?i){_sql_pattern(p)}') THEN {s} ELSE 0 END" for _, s, p in INJECTION)
 
 
-@query("sanitize_inputs", f"WITH {_V} SELECT conv_id, turn, concat_ws(',', {_FLAGS}) AS flags, list_extract(['clean', 'suspicious', 'blocked'], greatest({_SEVERITY}) + 1) AS severity FROM t")
+#: Fixed value: what stands for a pattern that was found.
+FILTERED = "[已过滤]"
+
+
+def _cleaned_sql() -> str:
+    out = "text"
+    for _, _, p in INJECTION:
+        out = f"regexp_replace({out}, '(?i){_sql_pattern(p)}', '{FILTERED}', 'g')"
+    return f"CASE WHEN greatest({_SEVERITY}) = 2 THEN {out} ELSE text END"
+
+
+@query("sanitize_inputs", f"WITH {_V} SELECT conv_id, turn, concat_ws(',', {_FLAGS}) AS flags, list_extract(['clean', 'suspicious', 'blocked'], greatest({_SEVERITY}) + 1) AS severity, regexp_replace({_cleaned_sql()}, '^[ \\t\\n\\r\\f\\v　]+|[ \\t\\n\\r\\f\\v　]+$', '', 'g') AS cleaned FROM t")
 def sanitize_inputs(spark, d):
-    """Flags in the order of the patterns, repeats kept, and the worst severity."""
+    """Flags in the order of the patterns, repeats kept, the worst severity, and the text
+    without white space around it; of a blocked text every pattern is replaced."""
     hit = lambda p: F.rlike(F.col("text"), F.lit("(?iuUd)" + p))
     flags = F.concat_ws(",", *[F.when(hit(p), f) for f, _, p in INJECTION])
     worst = F.greatest(*[F.when(hit(p), s).otherwise(0) for _, s, p in INJECTION])
-    return turns(spark, d).select("conv_id", "turn", flags.alias("flags"), F.element_at(F.array(*map(F.lit, ["clean", "suspicious", "blocked"])), worst + 1).alias("severity"))
+    cleaned = F.col("text")
+    for _, _, p in INJECTION:
+        cleaned = F.regexp_replace(cleaned, "(?iuUd)" + p, FILTERED)
+    t = turns(spark, d).withColumn("worst", worst).withColumn("flags", flags)
+    cleaned = F.regexp_replace(F.when(F.col("worst") == 2, cleaned).otherwise(F.col("text")), r"(?U)^\s+|\s+$", "")
+    severity = F.element_at(F.array(*map(F.lit, ["clean", "suspicious", "blocked"])), F.col("worst") + 1)
+    return t.select("conv_id", "turn", "flags", severity.alias("severity"), cleaned.alias("cleaned"))
 
 
 def first_class(text: Column, classes: dict[str, list[str]], other: Column) -> Column:

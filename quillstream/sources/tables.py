@@ -93,3 +93,36 @@ hit AS (SELECT p.event_id, p.user_id, p.product, p.bought, touch.trace_id, touch
 lt AS (SELECT event_id, user_id, product, trace_id,
     date_diff('microsecond', touched, bought) / 3600000000.0::DOUBLE AS hours FROM hit WHERE n = 1)"""
 )
+
+#: The assistant's tools and intents, and which tools an intent allows.
+TOOLS = [
+    "rag_search", "rag_chat", "web_search", "user_profile", "inventory_check", "image_search", "knowledge_graph",
+    "price_analysis", "order_lookup", "order_create", "logistics_track", "crm_create_return", "crm_send_coupon",
+]
+WHITELIST = {
+    "shopping_guide": ["rag_search", "rag_chat", "web_search", "user_profile", "inventory_check", "image_search"],
+    "recommendation": ["rag_search", "rag_chat", "web_search", "user_profile", "inventory_check", "knowledge_graph", "image_search"],
+    "operations": ["rag_search", "web_search", "price_analysis", "order_lookup"],
+    "supply_chain": ["rag_search", "order_lookup", "order_create", "logistics_track", "crm_create_return", "inventory_check"],
+    "general": ["rag_search", "rag_chat", "web_search"],
+}
+CONFIRMATION_TOOLS = ["order_create", "crm_create_return", "order_cancel"]
+INTENTS = list(WHITELIST)
+
+
+def plan_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of a user's day as the steps of a plan, each depending on one other:
+    tool_records and intent, step, n (steps of the plan), dep."""
+    w = W.partitionBy("user_id", "day")
+    pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))
+    s = tool_records(spark, sf_dir).withColumn("tool", pick(TOOLS, F.col("k") % len(TOOLS))).withColumn("intent", pick(INTENTS, F.col("user_id") % len(INTENTS)))
+    s = s.withColumn("step", F.row_number().over(w.orderBy("ts", "event_id")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    return s.withColumn("dep", F.col("step") - 1 - F.col("k") % 3 + F.when(F.col("k") % 7 == 0, 3).otherwise(0)).withColumn("day", F.col("day").cast("string"))
+
+
+S_SQL = (
+    R_SQL
+    + f""", s AS (SELECT user_id, CAST(day AS VARCHAR) AS day, event_id, ts, k, status, elapsed_ms, list_extract({TOOLS}, (k % {len(TOOLS)} + 1)::BIGINT) AS tool,
+  list_extract({INTENTS}, (user_id % {len(INTENTS)} + 1)::BIGINT) AS intent, row_number() OVER w - 1 AS step, count(*) OVER (PARTITION BY user_id, day) AS n,
+  row_number() OVER w - 2 - k % 3 + CASE WHEN k % 7 = 0 THEN 3 ELSE 0 END AS dep FROM r WINDOW w AS (PARTITION BY user_id, day ORDER BY ts, event_id))"""
+)

@@ -8,18 +8,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quillstream.operators.context import lifetimes_sql
 from quillstream.plans.registry import query
-from quillstream.sources.tables import R_SQL, level, status
+from quillstream.sources.tables import E_SQL, R_SQL, level, status
 
 
 def _shared(spark: SparkSession) -> str:
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         sc.setCheckpointDir(folder)
     return folder
@@ -61,13 +67,90 @@ def stream_status_log(spark, d):
     return finished(e.where("status != 'success'"), "status-log").groupBy("tool", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_dedup", f"WITH {R_SQL} SELECT user_id, tool, k, count(*) > 0 AS seen FROM r WHERE status IN ('success', 'degraded') GROUP BY 1, 2, 3")
+def stored_calls(stream: DataFrame, keys: list[str], ttl_seconds: int) -> DataFrame:
+    """The calls of a stream (event_id, ts and ``keys``) that are carried out: the first of a
+    key and the first after the stored one has outlived ``ttl_seconds``.  The state of a key
+    is one moment; it is dropped when the watermark has passed the end of its life."""
+    ttl = pd.Timedelta(seconds=ttl_seconds)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        stored = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        keep = []
+        for moment in rows["ts"]:
+            new = stored is None or moment - stored > ttl
+            stored = moment if new else stored
+            keep.append(new)
+        state.update((stored.value // 1000,))
+        ends = (stored + ttl).value // 1_000_000 + 1
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+        yield rows[keep]
+
+    return stream.groupBy(*keys).applyInPandasWithState(step, stream.schema, "stored long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def calls(spark: SparkSession, d: str) -> DataFrame:
+    e = stream_events(spark, d).withColumn("status", status(F.col("event_type")))
+    return e.select("event_id", "ts", "user_id", F.concat(F.lit("tool_"), F.col("k") % 8).alias("tool"), "k", "status").withWatermark("ts", "1 hour")
+
+
+@query("stream_dedup", lifetimes_sql("user_id, tool", 3600, "status IN ('success', 'degraded')") + " SELECT user_id, tool, ts FROM kept")
 def stream_dedup(spark, d):
-    """Calls with the same key once within an hour; the keys that came through."""
-    e = stream_events(spark, d).withColumn("status", status(F.col("event_type"))).where(F.col("status").isin("success", "degraded"))
-    e = e.select("ts", "user_id", F.concat(F.lit("tool_"), F.col("k") % 8).alias("tool"), "k").withWatermark("ts", "1 hour")
-    kept = finished(e.dropDuplicatesWithinWatermark(["user_id", "tool", "k"]), "dedup")
-    return kept.groupBy("user_id", "tool", "k").agg((F.count(F.lit(1)) > 0).alias("seen"))
+    """Calls that are carried out, equal ones being answered for an hour from the first."""
+    good = calls(spark, d).where(F.col("status").isin("success", "degraded")).select("event_id", "ts", "user_id", "tool")
+    kept = finished(stored_calls(good, ["user_id", "tool"], 3600), "dedup")
+    return kept.select("user_id", "tool", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("stream_fresh_cache", lifetimes_sql("tool, k", 300, "true") + " SELECT tool, count(*) AS searches FROM kept GROUP BY 1")
+def stream_fresh_cache(spark, d):
+    """Searches that are made, a result staying fresh for 300 seconds."""
+    kept = finished(stored_calls(calls(spark, d).select("event_id", "ts", "tool", "k"), ["tool", "k"], 300), "fresh-cache")
+    return kept.groupBy("tool").agg(F.count(F.lit(1)).alias("searches"))
+
+
+@query("stream_sessions", f"""WITH {R_SQL}, g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 4 HOUR THEN 0 ELSE 1 END AS new FROM r),
+n AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g), x AS (SELECT user_id, min(ts) AS started, max(ts) AS last, count(*) AS calls FROM n GROUP BY user_id, s)
+SELECT user_id, started, calls, least(calls, 20) AS held FROM x WHERE last + INTERVAL 5 HOUR <= (SELECT max(ts) FROM r)""")
+def stream_sessions(spark, d):
+    """Sessions of a user, over after four hours without a call, and the turns held, 20 at most."""
+    w = F.session_window("ts", "4 hours")
+    g = calls(spark, d).groupBy("user_id", w).agg(F.count(F.lit(1)).alias("calls"))
+    done = finished(g.select("user_id", F.col("session_window.start").alias("started"), "calls"), "sessions")
+    return done.select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), "calls", F.least("calls", F.lit(20)).cast("long").alias("held"))
+
+
+@query("stream_attr_join", f"""WITH {E_SQL} SELECT p.event_id, arg_max(t.event_id, (t.ts, -t.event_id)) AS touch FROM e p JOIN e t ON p.event_type = 'purchase' AND t.event_type IN ('view', 'click') AND p.user_id = t.user_id AND p.k % 10 = t.k % 10
+ AND t.ts <= p.ts AND p.ts <= t.ts + INTERVAL 7 DAY GROUP BY 1""")
+def stream_attr_join(spark, d):
+    """Two streams joined within seven days, state older than that going with the watermark;
+    the nearest touch of each purchase is then taken from the pairs that were given out."""
+    e = lambda *types: stream_events(spark, d).where(F.col("event_type").isin(*types))
+    product = (F.col("k") % 10).alias("product")
+    t = e("view", "click").select(F.col("ts").alias("touched"), F.col("user_id").alias("u"), product.alias("p"), F.col("event_id").alias("touch")).withWatermark("touched", "1 hour")
+    p = e("purchase").select("event_id", F.col("ts").alias("bought"), "user_id", product).withWatermark("bought", "1 hour")
+    near = F.expr("u = user_id AND p = product AND touched <= bought AND bought <= touched + INTERVAL 7 DAYS")
+    pairs = finished(p.join(t, near).select("event_id", "touched", "touch"), "attribution")
+    return pairs.groupBy("event_id").agg(F.max_by("touch", F.struct("touched", -F.col("touch"))).alias("touch"))
+
+
+@query("stream_callbacks", f"""WITH {E_SQL}, w AS (SELECT event_id, user_id, ts FROM e WHERE event_type = 'signup' AND ts < (SELECT max(ts) FROM e) - INTERVAL 1 DAY),
+j AS (SELECT w.event_id, min(c.event_id) AS callback FROM w LEFT JOIN e c ON c.event_type = 'click' AND c.user_id = w.user_id AND c.ts >= w.ts AND c.ts <= w.ts + INTERVAL 2 HOUR GROUP BY 1)
+SELECT event_id, coalesce(callback, -1) AS callback FROM j""")
+def stream_callbacks(spark, d):
+    """Tasks that wait for a callback of their user, two hours at most; what nobody answers
+    times out when the watermark has passed.  The last day of the stream is left open."""
+    e = lambda kind: stream_events(spark, d).where(F.col("event_type") == kind)
+    w = e("signup").select("event_id", F.col("ts").alias("asked"), "user_id").withWatermark("asked", "1 hour")
+    c = e("click").select(F.col("event_id").alias("c"), F.col("ts").alias("answered"), F.col("user_id").alias("u")).withWatermark("answered", "1 hour")
+    within = F.expr("u = user_id AND answered >= asked AND answered <= asked + INTERVAL 2 HOURS")
+    pairs = finished(w.join(c, within, "left_outer").select("event_id", "asked", "c"), "callbacks")
+    last = spark.read.parquet(f"{d}/events.parquet").agg((F.max("ts").cast("timestamp") - F.expr("INTERVAL 1 DAY")).alias("end"))
+    closed = pairs.join(F.broadcast(last), F.col("asked") < F.col("end"))  # one row
+    return closed.groupBy("event_id").agg(F.coalesce(F.min("c"), F.lit(-1)).alias("callback"))
 
 
 @query("event_log_roundtrip", f"WITH {R_SQL} SELECT event_id, tool, status, elapsed_ms FROM r")
