@@ -5,7 +5,9 @@ on a bounded sample; every row belongs to its nearest pivot, and the rows of a p
 blocks of bounded size.  A pair of nodes is skipped if the inner product of their centres,
 widened by both covering radii, cannot reach the worst k-th score of the node's queries.
 That is done first for pairs of pivots (which decides the blocks a query is sent to) and
-then, inside a task, for pairs of nodes of the block's cover tree and the queries' one.
+then, inside a task, for pairs of nodes of the block's cover tree and the queries' one, down to
+leaves of ``LEAF`` rows.  How much is skipped depends on the data: vectors that point
+everywhere alike leave little to skip, clustered ones much.
 
 Every query starts from its k-th best score among the sample's rows, which are data too.
 """
@@ -24,17 +26,20 @@ from pyspark.sql import functions as F
 from quillstream.llm.common import stored
 
 #: Rows of a leaf: pairs of leaves are one matrix product each.
-LEAF = 128
-FAN = 8
+LEAF = 16
+#: The cover radius shrinks by this from level to level.
+BASE = 1.3
 NEVER = -(2**62)
 
 
 class Node:
-    """A ball around ``centre``, with children or the rows of a leaf."""
+    """A node of a cover tree: its children's centres, its own among them, are further apart
+    than the level's cover radius, and every row below it is within that of one of them.
+    ``radius`` is the distance of the row farthest from the centre."""
 
     __slots__ = ("centre", "radius", "rows", "children", "centres", "radii", "norms", "norm")
 
-    def __init__(self, x: np.ndarray, rows: np.ndarray):
+    def __init__(self, x: np.ndarray, rows: np.ndarray, cover: float | None = None):
         self.rows, self.children = rows, []
         self.centre = x[rows[0]]
         self.norm = float(np.linalg.norm(self.centre))
@@ -42,26 +47,29 @@ class Node:
         self.radius = float(d.max())
         if len(rows) <= LEAF or self.radius == 0:
             return
-        # Children cover the node with smaller balls around its own points, farthest first.
+        cover = min(self.radius, self.radius if cover is None else cover) / BASE
+        # Farthest first: each new centre is further than the cover radius from those before.
         centres, owner = [0], np.zeros(len(rows), np.int64)
-        while len(centres) < FAN and d.max() > self.radius / 1.3:
+        while d.max() > cover:
             far = int(d.argmax())
             new = np.linalg.norm(x[rows] - x[rows[far]], axis=1)
             owner[new < d] = len(centres)
             d = np.minimum(d, new)
             centres.append(far)
-        for n, c in enumerate(centres):
-            mine = rows[(owner == n) & (np.arange(len(rows)) != c)]
-            self.children.append(Node(x, np.r_[rows[c], mine]))
+        order = np.argsort(owner, kind="stable")
+        ends = np.searchsorted(owner[order], np.arange(len(centres)), side="right")
+        for c, mine in zip(centres, np.split(order, ends[:-1]), strict=True):
+            self.children.append(Node(x, rows[np.r_[c, mine[mine != c]]], cover))
         self.centres = np.array([c.centre for c in self.children])
         self.radii = np.array([c.radius for c in self.children])
         self.norms = np.array([c.norm for c in self.children])
 
 
 def ball_bound(centre, norm, radius, centres, norms, radii):
-    """The largest inner product of a vector in one ball with a vector in another."""
-    bound = centres @ centre + radius * norms + radii * norm + radius * radii
-    return bound + 1e-9 * (np.abs(bound) + 1)
+    """The largest inner product of a vector in one ball with a vector in another, and a little
+    more than what rounding can take away from any of its terms."""
+    reach = radius * norms + radii * norm + radius * radii
+    return centres @ centre + reach + 1e-9 * (norm * norms + reach + 1)
 
 
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -77,13 +85,14 @@ class DualTree:
         self.worst = start.astype(np.int64).copy()
         self.best: list[list] = [[] for _ in q_ids]
         self.fq, self.fx = q.astype(float), x.astype(float)
+        self.scored = 0  # pairs of a query and a row whose inner product was computed
         if len(q_ids) and len(ids):
             self.visit(Node(self.fq, np.arange(len(q_ids))), Node(self.fx, np.arange(len(ids))))
 
     def visit(self, a: Node, b: Node) -> None:
         if not a.children and not b.children:
             self.leaves(a.rows, b.rows)
-        elif not b.children or (a.children and a.radius > b.radius):
+        elif not b.children or (a.children and 4 * a.radius > b.radius):  # queries first: a group's bound is its worst
             bounds = ball_bound(b.centre, b.norm, b.radius, a.centres, a.norms, a.radii)
             for n in np.argsort(-bounds):
                 if bounds[n] >= self.worst[a.children[n].rows].min():
@@ -97,6 +106,7 @@ class DualTree:
 
     def leaves(self, qs: np.ndarray, rows: np.ndarray) -> None:
         scores = inner(self.q[qs], self.x[rows])
+        self.scored += scores.size
         reaches = scores >= self.worst[qs][:, None]
         for i in np.flatnonzero(reaches.any(1)):
             q = qs[i]
@@ -192,25 +202,23 @@ def topk_search(
     at = np.array([r["pivot"] for r in role])
     norms = np.linalg.norm(centres[at], axis=1)
     radii = np.array([r["radius"] for r in role])
-    blocks = {r["pivot"]: -(-r["n"] // block_rows) for r in role}
-    reach = []
+    reach = []  # at most one row for each pair of pivots
     for r in role:
         if r["asked"]:
             c = centres[r["pivot"]]
             bound = ball_bound(c, float(np.linalg.norm(c)), r["q_radius"], centres[at], norms, radii)
-            for p in at[bound >= r["worst"]]:
-                reach += [(r["pivot"], int(p), n) for n in range(blocks[int(p)])]
-    # Block numbers grow with the data, so the pairs are a table, joined by pivot.
-    reach_df = spark.createDataFrame(reach, "pivot int, p int, block int")
+            reach += [(r["pivot"], int(p)) for p in at[bound >= r["worst"]]]
+    reach_df = F.broadcast(spark.createDataFrame(reach, "pivot int, p int"))
+    sizes = F.broadcast(spark.createDataFrame([(r["pivot"], -(-r["n"] // block_rows)) for r in role], "p int, blocks long"))
     q_parts = -(-asked // query_rows)
     part = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(q_parts))
-    queries = placed.where("q").select("id", "v", "start", "pivot", part.alias("part"))
-    queries = queries.join(reach_df, "pivot").select("p", "block", "part", "id", "v", "start")
-    count_of = F.create_map(*[F.lit(y) for p, n in blocks.items() for y in (int(p), int(n))])
-    block = F.pmod(F.xxhash64("id"), F.element_at(count_of, F.col("pivot")))
-    data = placed.select(
-        F.col("pivot").alias("p"), block.cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_parts - 1).cast("long"))).alias("part"), "id", "v"
-    )
+    queries = placed.where("q").select("id", "v", "start", "pivot", part.alias("part")).join(reach_df, "pivot").join(sizes, "p")
+    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    queries = queries.select("p", "block", "part", "id", "v", "start")
+    # A row of data is copied only to the parts of queries that its block is reached by.
+    data = placed.withColumnRenamed("pivot", "p").join(sizes, "p").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    parts = placed.where("q").select("pivot", part.alias("part")).distinct().join(reach_df, "pivot").select("p", "part").distinct()
+    data = data.join(parts, "p").select("p", "block", "part", "id", "v")
     data = data.select(*(F.col(c).alias(c) for c in data.columns))  # apart from the queries' columns
 
     def search(queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
@@ -231,9 +239,10 @@ def op1(embeddings: DataFrame) -> DataFrame:
 
 OP1_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e
+  SELECT vec_id, min(list_transform(embedding, lambda x: floor(1024 * x::DOUBLE))) AS e
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+  GROUP BY vec_id),
 p AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
