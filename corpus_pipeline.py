@@ -19,6 +19,8 @@ from quillstream.llm.quality import score_quality
 
 #: Of ids or hashes with a number, some 60 bytes each.
 BROADCAST_ROWS = 1_000_000
+#: Of text that is encoded at once: half of the operator's own, as rows carry more here.
+SLICE_BYTES = 16 << 20
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,11 +65,12 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document; ``round_trip`` says that the ids give the text back."""
     ranks, pattern = vocabulary()
-    both = bpe_decode(bpe_encode(docs, ranks, pattern, keep=["doc_id", "lang", "source", "text"]), ranks)
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return both.select(
-        "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip")
-    )
+    # Of the text a hash goes along, which is what the decoded bytes are compared with.
+    given = docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("text_sha256"))
+    encoded = bpe_encode(given, ranks, pattern, keep=["doc_id", "lang", "source", "text_sha256"], slice_bytes=SLICE_BYTES)
+    both = bpe_decode(encoded, ranks)
+    same = F.sha2("decoded", 256) == F.col("text_sha256")
+    return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
 
 STAGES = [
