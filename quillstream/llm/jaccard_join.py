@@ -284,8 +284,24 @@ def jaccard_groups(
 
     keys = ["g", "gc", "salt"]
     more = queries.groupBy(*keys).cogroup(sides.groupBy(*keys)).applyInPandas(open_group, f"a {kind}, b {kind}")
-    more = verified(more, "jaccard-more")
-    final = connected_components(links.union(more)) if more.limit(1).count() else first
+    # Only links between different components matter.  Of each set's candidates a few are compared
+    # first, which joins most of a large group of near copies; then more and more of those that
+    # still lie in different components, until none is left.
+    open_pairs, final, tried, turn = stored(more.distinct(), "jaccard-more"), first, 8, F.xxhash64("a", "b")
+    while True:
+        side = lambda c: final.select(F.col("id").alias(c), F.col("component").alias("c" + c))
+        apart = open_pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+        apart = apart.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca != cb")
+        ranked = apart.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(turn)))
+        ranked = stored(ranked.select("a", "b", "nth"), "jaccard-open")
+        if not ranked.limit(1).count():
+            break
+        found = verified(ranked.where(F.col("nth") <= tried).select("a", "b"), "jaccard-more")
+        open_pairs = ranked.where(F.col("nth") > tried).select("a", "b")
+        if found.limit(1).count():
+            links = stored(links.union(found), "jaccard-links")
+            final = connected_components(links)
+        tried *= 64
 
     # Back to the rows: copies follow their representative.
     light = light.join(copies, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
