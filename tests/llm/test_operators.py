@@ -91,7 +91,7 @@ def test_bpe_is_the_library_s(docs, none):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     enc = tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})
     table, pattern = bpe.vocabulary()
-    out = bpe.bpe_decode(bpe.bpe_encode(docs, table, pattern, frequent_words=8), table).collect()
+    out = bpe.bpe_decode(bpe.bpe_encode(docs, table, pattern, slice_bytes=64), table).collect()
     assert len(out) == len(ROWS)
     for r in out:
         assert r["ids"] == enc.encode_ordinary(r["text"] or "") and bytes(r["decoded"]) == (r["text"] or "").encode()
@@ -215,7 +215,13 @@ def test_toxicity_model_has_every_beginning(spark):
         for w in set(toxicity.words_of(t)):
             counts.setdefault(w, np.zeros(2))[toxic[i]] += 1
     word = brute_kneser_ney(counts)
-    expected = sorted((str(i), round(float(np.mean([word(w) for w in toxicity.words_of(t)] or [0.0])), 5)) for i, t in rows)
+
+    def evidence_of(text):  # what each word says above two nats, by words to the power 3/4
+        words = toxicity.words_of(text)
+        return sum(max(0.0, word(w) - 2.0) for w in words) / max(1, len(words)) ** 0.75
+
+    expected = sorted((str(i), round(float(evidence_of(t)), 5)) for i, t in rows)
+    assert len({x for _, x in expected}) > 3
     df = spark.createDataFrame(rows, "doc_id long, text string")
     lab = spark.createDataFrame(labels, "doc_id long, toxic int")
     args = (df, lab, F.col("doc_id") < 30, F.col("doc_id") >= 30, "doc_id", "text", "toxic", 4000)
@@ -296,3 +302,21 @@ def test_bpe_decode_refuses_unknown_ids(spark):
     for bad, why in ((-1, "vocabulary has not"), (len(table), "vocabulary has not"), (None, "MALFORMED_CHARACTER")):
         with pytest.raises(Exception, match=why):
             bpe.bpe_decode(spark.createDataFrame([(1, [0, bad])], "doc_id long, ids array<int>"), table).collect()
+
+
+def test_exact_dedup_tells_texts_of_one_hash_apart(docs):
+    want = sorted(map(str, exact_dedup.exact_dedup(docs, keep="max").collect()))
+    for rows in (-1, 500_000):
+        weak = exact_dedup.exact_dedup(docs, keep="max", digest=lambda c: F.substring(F.md5(c), 1, 1), broadcast_rows=rows)
+        assert sorted(map(str, weak.collect())) == want
+
+
+def test_dual_tree_descends_and_prunes():
+    rng = np.random.default_rng(1)
+    x = np.floor(rng.normal(0, 3000, (40, 16))[rng.integers(0, 40, 2000)] + rng.normal(0, 100, (2000, 16))).astype(np.int64)
+    ids = np.arange(2000)
+    t = topk_search.DualTree(ids[:100], x[:100], np.full(100, topk_search.NEVER), ids, x, 10)
+    assert t.scored < 0.9 * 100 * 2000
+    for i, heap in enumerate(t.best):
+        s = x @ x[i]
+        assert sorted((-a, -b) for a, b in heap) == sorted((-int(s[j]), j) for j in range(2000) if j != i)[:10]
