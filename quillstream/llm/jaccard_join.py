@@ -257,15 +257,7 @@ def jaccard_groups(
     opened = indexed.join(matrix, "token").where((F.col("component") > F.col("g")) & fits).select("id", "g", "gc").distinct()
     opened = stored(opened, "jaccard-candidates")
 
-    # Step 4: bound by the union of the group's tokens, open, compare.  The salt keeps the
-    # queries of one task bounded; a group's lists are read once for each salt.
-    per_group = opened.groupBy("g", "gc").agg(F.ceil(F.count(F.lit(1)) / 512).alias("salts"))
-    queries = opened.join(per_group, ["g", "gc"]).withColumn("salt", F.pmod(F.xxhash64("id"), "salts")).drop("salts")
-    queries = queries.join(heads, "id")
-    sides = members.select("id", F.col("component").alias("g"), F.col("cut").alias("gc")).join(per_group, ["g", "gc"])
-    sides = sides.select("id", "g", "gc", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(heads, "id")
-    sides = sides.select(*(F.col(c).alias(c) for c in sides.columns))  # apart from the other side's columns
-
+    # Step 4: bound by the union of the group's tokens, open, compare.
     def open_group(queries: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(group) and len(queries):
@@ -277,31 +269,44 @@ def jaccard_groups(
                 # What both can share at most: the query's tokens that the union may have, and a member's own.
                 if (100 + percent) * min(q.n - lacks, int(group["n"].max()) - alone) < percent * (q.n + low):
                     continue
-                for m in group.itertuples():
-                    if may_link(q.prefix, q.alone, q.n, m.prefix, m.alone, m.n, percent):
-                        found.append((q.id, m.id))
+                able = [m for m in group.itertuples() if may_link(q.prefix, q.alone, q.n, m.prefix, m.alone, m.n, percent)]
+                if q.one and able:
+                    able = [max(able, key=lambda m: (int(_inside(m.prefix, q.prefix).sum()), -abs(m.n - q.n)))]
+                found += [(q.id, m.id) for m in able]
         return pd.DataFrame(found, columns=["a", "b"])
 
-    keys = ["g", "gc", "salt"]
-    more = queries.groupBy(*keys).cogroup(sides.groupBy(*keys)).applyInPandas(open_group, f"a {kind}, b {kind}")
-    # Only links between different components matter.  Of each set's candidates a few are compared
-    # first, which joins most of a large group of near copies; then more and more of those that
-    # still lie in different components, until none is left.
-    open_pairs, final, tried, turn = stored(more.distinct(), "jaccard-more"), first, 8, F.xxhash64("a", "b")
+    def candidates(opened: DataFrame, one: bool) -> DataFrame:
+        """The pairs (a, b) that can link, of each query and the groups opened for it; with
+        ``one`` only the likeliest of each group.  The salt keeps the queries of one task
+        bounded; a group's lists are read once for each salt."""
+        per_group = opened.groupBy("g", "gc").agg(F.ceil(F.count(F.lit(1)) / 512).alias("salts"))
+        queries = opened.join(per_group, ["g", "gc"]).withColumn("salt", F.pmod(F.xxhash64("id"), "salts")).drop("salts")
+        queries = queries.join(heads, "id").withColumn("one", F.lit(one))
+        sides = members.select("id", F.col("component").alias("g"), F.col("cut").alias("gc")).join(per_group, ["g", "gc"])
+        sides = sides.select("id", "g", "gc", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(heads, "id")
+        sides = sides.select(*(F.col(c).alias(c) for c in sides.columns))  # apart from the other side's columns
+        keys = ["g", "gc", "salt"]
+        return queries.groupBy(*keys).cogroup(sides.groupBy(*keys)).applyInPandas(open_group, f"a {kind}, b {kind}").distinct()
+
+    # Only links between different components matter.  Each query first tries the likeliest
+    # member of each group, which joins most of a large group of near copies; then all members of
+    # more and more of the groups that still lie in another component, until none is left.
+    final, tried, turn = first, 0, F.xxhash64("id", "g", "gc")
     while True:
         side = lambda c: final.select(F.col("id").alias(c), F.col("component").alias("c" + c))
-        apart = open_pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-        apart = apart.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca != cb")
-        ranked = apart.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(turn)))
-        ranked = stored(ranked.select("a", "b", "nth"), "jaccard-open")
+        apart = opened.join(side("id"), "id", "left").join(side("g"), "g", "left")
+        apart = apart.where(F.coalesce("cid", "id") != F.coalesce("cg", "g")).select("id", "g", "gc")
+        ranked = stored(apart.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(turn))), "jaccard-open")
         if not ranked.limit(1).count():
             break
-        found = verified(ranked.where(F.col("nth") <= tried).select("a", "b"), "jaccard-more")
-        open_pairs = ranked.where(F.col("nth") > tried).select("a", "b")
+        now = ranked.where(F.col("nth") <= tried) if tried else ranked
+        found = verified(candidates(now.select("id", "g", "gc"), one=not tried), "jaccard-more")
+        # What was opened for its likeliest member alone is opened again if it still lies apart.
+        opened = ranked.where(F.col("nth") > tried).select("id", "g", "gc")
         if found.limit(1).count():
             links = stored(links.union(found), "jaccard-links")
             final = connected_components(links)
-        tried *= 64
+        tried = 64 * tried or 8
 
     # Back to the rows: copies follow their representative.
     light = light.join(copies, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
