@@ -171,7 +171,9 @@ def jaccard_groups(
     sets = stored(rows.mapInPandas(summarise, summary), "jaccard-sets")
     light = sets.select("id", "n", "digest")
     classes = light.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    copies = stored(light.join(classes.where("copies > 1"), "digest").where("id != rep").select("id", "rep").distinct(), "jaccard-copies")
+    # Stored, so that it is sent out if small and a large group of copies can be split if not.
+    classes = broadcast_if_small(stored(classes.where("copies > 1").select("digest", "rep"), "jaccard-classes"), broadcast_rows)
+    copies = stored(light.join(classes, "digest").where("id != rep").select("id", "rep").distinct(), "jaccard-copies")
     single = sets.where("n > 0").join(broadcast_if_small(copies.select("id"), broadcast_rows), "id", "left_anti")
     repeated = stored(light.groupBy("id").count().where("count > 1").select("id"), "jaccard-repeated")
     if repeated.limit(1).count():  # of rows repeated whole one stays, since each set counts once
