@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from quillstream.llm.common import stored_in_buckets
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 NO_RANK = 2**31 - 1
 SHIFT = 1 << 31
 
