@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstream.llm.bpe import op9
+from quillstream.llm.collocations import OP12_SQL, op12
 from quillstream.llm.common import read
 from quillstream.llm.exact_dedup import OP4_SQL, op4
 from quillstream.llm.html_text import op5
 from quillstream.llm.jaccard_join import op3
 from quillstream.llm.mixing import OP7_SQL, op7
+from quillstream.llm.packing import op11
+from quillstream.llm.prefix_trie import OP13_SQL, op13
 from quillstream.llm.quality import op8
 from quillstream.llm.secrets import op10
 from quillstream.llm.topk_search import OP1_SQL, op1
@@ -31,8 +34,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": lambda s, d: op8(read(s, d, "documents"), read(s, d, "labels")),
         "op9_byte_bpe": lambda s, d: op9(read(s, d, "documents")),
         "op10_secret_scan": lambda s, d: op10(read(s, d, "documents")),
+        "op11_best_fit_packing": lambda s, d: op11(read(s, d, "documents")),
+        "op12_collocations": lambda s, d: op12(read(s, d, "documents")),
+        "op13_prefix_trie": lambda s, d: op13(read(s, d, "conversations")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_url_filter": OP6_SQL, "op7_mix_sources": OP7_SQL}
+    return {
+        "op1_topk_search": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_url_filter": OP6_SQL, "op7_mix_sources": OP7_SQL,
+        "op12_collocations": OP12_SQL, "op13_prefix_trie": OP13_SQL,
+    }
