@@ -1,6 +1,6 @@
 """All queries of the library but those of ``llm``: importing the operators registers them."""
 
-from quillstream.operators import attribution, commerce, context, experiments, exports, plans, telemetry, text  # noqa: F401
+from quillstream.operators import attribution, commerce, context, experiments, exports, plans, retrieval, telemetry, text  # noqa: F401
 from quillstream.plans.registry import QUERIES, SQL
 from quillstream.streaming import event_streams  # noqa: F401
 
