@@ -2,6 +2,6 @@
 
 from quillstream.operators import attribution, commerce, context, experiments, exports, plans, retrieval, telemetry, text  # noqa: F401
 from quillstream.plans.registry import QUERIES, SQL
-from quillstream.streaming import event_streams  # noqa: F401
+from quillstream.streaming import event_streams, stateful  # noqa: F401
 
 __all__ = ["QUERIES", "SQL"]

@@ -6,8 +6,6 @@ has no zone; watermarks need a timestamp, so it is cast first.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,20 +15,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillstream.operators.context import lifetimes_sql
 from quillstream.plans.registry import query
+from quillstream.sources.scratch import scratch_path
 from quillstream.sources.tables import E_SQL, R_SQL, level, status
 
 
-def _shared(spark: SparkSession) -> str:
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        sc.setCheckpointDir(folder)
-    return folder
-
-
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     # A pattern, since a stream's source takes folders but no single file by its name.
@@ -42,8 +30,8 @@ def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def finished(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream in append mode over all there is; the rows that its sink then holds."""
     spark = stream.sparkSession
-    out = f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
-    q = stream.writeStream.format("parquet").option("checkpointLocation", out + "-state").trigger(availableNow=True).start(out)
+    out = scratch_path(spark, name)
+    q = stream.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, name + "-state")).trigger(availableNow=True).start(out)
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
@@ -158,6 +146,6 @@ def event_log_roundtrip(spark, d):
     """Append tool calls to a log of JSON lines and scan it with a fixed schema."""
     e = spark.read.parquet(f"{d}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     rows = e.select("event_id", F.concat(F.lit("tool_"), F.col("k") % 8).alias("tool"), status(F.col("event_type")).alias("status"), F.col("value").alias("elapsed_ms"))
-    out = f"{_shared(spark)}/event-log-{uuid.uuid4().hex}"
+    out = scratch_path(spark, "event-log")
     rows.write.mode("append").json(out)
     return spark.read.schema(rows.schema).json(out)
