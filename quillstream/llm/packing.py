@@ -25,8 +25,8 @@ from quillstream.llm.common import broadcast_if_small, stored
 
 CAPACITY = 1024
 END_ID = 2
-#: Pieces of one length that are ranked together at most, on average.
-PART_ROWS = 4096
+#: Pieces of one length that are ranked together, on average.
+PART_ROWS = 512
 #: Counts by (length, part) that may be sent to all, 24 bytes each.
 BROADCAST_ROWS = 1_000_000
 #: A run of white space as long as this overflows the faster library's pattern.
