@@ -31,6 +31,8 @@ COVER = 80
 VOCABULARY_ROWS, VOCABULARY_BYTES, TRIE_ROWS = 500_000, 16 << 20, 1_000_000
 #: Text that is split into words at once, numbers in a row of encoded text, rows merged in a task.
 SPLIT_BYTES, ROW_NUMBERS, HELD_KEYS = 4 << 20, 1 << 16, 2_000_000
+#: Children of a node of a trie that is placed together with others.
+FEW = 8
 #: Counts of a trie that travel in one row.
 BLOCK = 1024
 
@@ -158,7 +160,7 @@ class DoubleArrayTrie:
         codes = np.searchsorted(self.symbols, self.phrases)
         n = len(self.symbols)
         self.base, self.check, self.accept = np.zeros(n, np.int32), np.full(n, -1, np.int32), np.full(n, -1, np.int32)
-        self._used = np.ones(n, bool)
+        self._used, self._first, self._end, self._from = np.ones(n, bool), n, n, {}
         self.check[np.unique(codes[:, 0])] = 0
         self.check[0] = -1
         lengths = (codes > 0).sum(axis=1)
@@ -169,45 +171,73 @@ class DoubleArrayTrie:
                 for k in range(level - 1):
                     at = self.base[at] + codes[rows, k]
                 self._add_level(at, codes[rows, level - 1], rows)
-        self._grow(int(self.base.max()) + n + 1)
-        del self._used
+        self._resize(int(self.base.max()) + n + 1)
+        del self._used, self._first, self._end, self._from
+
+    def _resize(self, size: int) -> None:
+        fit = lambda x, fill: np.concatenate([x[:size], np.full(max(0, size - len(x)), fill, x.dtype)])
+        self.base, self.check, self.accept, self._used = fit(self.base, 0), fit(self.check, -1), fit(self.accept, -1), fit(self._used, False)
 
     def _grow(self, size: int) -> None:
-        more = size - len(self.base)
-        if more > 0:
-            self.base = np.concatenate([self.base, np.zeros(more, np.int32)])
-            self.check, self.accept = (np.concatenate([x, np.full(more, -1, np.int32)]) for x in (self.check, self.accept))
-            self._used = np.concatenate([self._used, np.zeros(more, bool)])
+        if size > len(self.base):
+            self._resize(max(size, 2 * len(self.base)))
 
     def _add_level(self, parents: np.ndarray, codes: np.ndarray, rows: np.ndarray) -> None:
         starts = np.flatnonzero(np.concatenate([[True], parents[1:] != parents[:-1]]))
         sizes = np.diff([*starts, len(parents)])
-        for g in np.argsort(-sizes, kind="stable"):
-            if sizes[g] == 1:
-                break
+        # Nodes with most children first, while there is most room; those with few all at once.
+        for g in np.argsort(-sizes, kind="stable")[: int((sizes > FEW).sum())].tolist():
             group = slice(starts[g], starts[g] + sizes[g])
-            self._put(parents[group], codes[group], rows[group], self._room(codes[group]))
+            self._put(parents[starts[g]], codes[group], rows[group], self._room(codes[group]))
+        few = (sizes > 1) & (sizes <= FEW)
+        self._scatter(starts[few], sizes[few], parents, codes, rows)
         one = starts[sizes == 1]  # a single child goes into any free slot
-        self._grow(len(self.base) + len(one))
+        self._grow(self._end + len(one))
         free = np.flatnonzero(~self._used)[: len(one)]
         self._put(parents[one], codes[one], rows[one], free - codes[one])
 
+    def _scatter(self, starts: np.ndarray, sizes: np.ndarray, parents: np.ndarray, codes: np.ndarray, rows: np.ndarray) -> None:
+        """Draw a place for each of many nodes until its children fall on free slots that no
+        other node has drawn; a third of the new slots are taken in the end."""
+        draw = np.random.default_rng(len(self.base))
+        low, high = self._end, self._end + 3 * int(sizes.sum()) + 64
+        self._grow(high + int(codes.max()) + 1)
+        owner = np.full(len(self.base), -1, np.int32)
+        while len(starts):
+            node = np.repeat(np.arange(len(starts)), sizes)
+            child = np.arange(len(node)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
+            base = draw.integers(low, high, len(starts)) - codes[starts]
+            slots = base[node] + codes[child]
+            owner[slots] = node
+            clash = self._used[slots] | (owner[slots] != node)
+            good = ~np.logical_or.reduceat(clash, np.cumsum(sizes) - sizes)
+            taken = good[node]
+            self._put(parents[child[taken]], codes[child[taken]], rows[child[taken]], base[node[taken]])
+            starts, sizes = starts[~good], sizes[~good]
+
     def _room(self, codes: np.ndarray) -> int:
-        """The first base at which all of a node's children fall on free slots."""
-        span, tried = int(codes[-1] - codes[0]) + 1, 64
-        low = int(np.argmin(self._used)) if not self._used.all() else len(self._used)
+        """A base at which all of a node's children fall on free slots.  The search begins where
+        one for as many children (by powers of two) ended, so that no stretch is searched
+        twice for the same; single children fill the gaps later."""
+        size, tried = len(codes).bit_length(), 64
+        span, low = int(codes[-1] - codes[0]) + 1, self._from.get(size, self._first)
         while True:
             self._grow(low + tried + span)
             firsts = np.flatnonzero(~self._used[low : low + tried]) + low
-            clash = self._used[(firsts - codes[0])[:, None] + codes[None, :]].any(axis=1)
-            if not clash.all():
-                return int(firsts[np.argmin(clash)] - codes[0])
-            low, tried = low + tried, min(4 * tried, 4096)
-
-    def _put(self, parents: np.ndarray, codes: np.ndarray, rows: np.ndarray, base) -> None:
+            for c in codes[1:].tolist():  # what clashes with one child needs no look at the others
+                if not len(firsts):
+                    break
+                firsts = firsts[~self._used[firsts + (c - int(codes[0]))]]
+            if len(firsts):
+                self._from[size] = low
+                return int(firsts[0] - codes[0])
+            low, tried = low + tried, min(4 * tried, 1 << 16)
+
+    def _put(self, parents, codes: np.ndarray, rows: np.ndarray, base) -> None:
         slots = base + codes
         self.base[parents] = base
         self.check[slots], self.accept[slots], self._used[slots] = parents, rows, True
+        self._end = max(self._end, int(slots.max(initial=0)) + 1)
 
     def walk(self, ids: np.ndarray, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each level from 2 to ``words``: the positions whose next so many numbers are a
