@@ -84,10 +84,14 @@ def _cleaned_sql() -> str:
     return f"CASE WHEN greatest({_SEVERITY}) = 2 THEN {out} ELSE text END"
 
 
-@query("sanitize_inputs", f"WITH {_V} SELECT conv_id, turn, concat_ws(',', {_FLAGS}) AS flags, list_extract(['clean', 'suspicious', 'blocked'], greatest({_SEVERITY}) + 1) AS severity, regexp_replace({_cleaned_sql()}, '^[ \\t\\n\\r\\f\\v　]+|[ \\t\\n\\r\\f\\v　]+$', '', 'g') AS cleaned FROM t")
+_STRIPPED = f"regexp_replace({_cleaned_sql()}, '^[ \\t\\n\\r\\f\\v　]+|[ \\t\\n\\r\\f\\v　]+$', '', 'g')"
+
+
+@query("sanitize_inputs", f"WITH {_V} SELECT conv_id, turn, concat_ws(',', {_FLAGS}) AS flags, list_extract(['clean', 'suspicious', 'blocked'], greatest({_SEVERITY}) + 1) AS severity, CASE WHEN {_STRIPPED} = '' THEN text ELSE {_STRIPPED} END AS cleaned FROM t")
 def sanitize_inputs(spark, d):
     """Flags in the order of the patterns, repeats kept, the worst severity, and the text
-    without white space around it; of a blocked text every pattern is replaced."""
+    without white space around it; of a blocked text every pattern is replaced.  A blank text
+    comes back as it is."""
     hit = lambda p: F.rlike(F.col("text"), F.lit("(?iuUd)" + p))
     flags = F.concat_ws(",", *[F.when(hit(p), f) for f, _, p in INJECTION])
     worst = F.greatest(*[F.when(hit(p), s).otherwise(0) for _, s, p in INJECTION])
@@ -96,6 +100,7 @@ def sanitize_inputs(spark, d):
         cleaned = F.regexp_replace(cleaned, "(?iuUd)" + p, FILTERED)
     t = turns(spark, d).withColumn("worst", worst).withColumn("flags", flags)
     cleaned = F.regexp_replace(F.when(F.col("worst") == 2, cleaned).otherwise(F.col("text")), r"(?U)^\s+|\s+$", "")
+    cleaned = F.when(cleaned == "", F.col("text")).otherwise(cleaned)
     severity = F.element_at(F.array(*map(F.lit, ["clean", "suspicious", "blocked"])), F.col("worst") + 1)
     return t.select("conv_id", "turn", "flags", severity.alias("severity"), cleaned.alias("cleaned"))
 

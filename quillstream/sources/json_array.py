@@ -63,6 +63,8 @@ class JsonArrayReader(DataSourceReader):
         return [File(x.path) for x in sorted(fs.get_file_info(arrow_fs.FileSelector(version)), key=lambda x: x.path)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        if not isinstance(partition, File):  # what Spark reads where there are no partitions
+            return
         fs, _ = _open(self.path)
         schema = to_arrow_schema(self.schema)
         try:

@@ -1,5 +1,8 @@
-"""The budget of characters against a plain restatement, record by record."""
+"""The budget of characters: what must hold of every text, and cases worked out by hand."""
 
+import re
+
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -7,60 +10,96 @@ from pyspark.sql import functions as F
 from quillstream.operators.context import CUT, DEGRADED_OMITTED, SPENT, SUCCESS_OMITTED, within_budget
 
 KIND = "array<struct<tool:string,status:string,summary:string,error:string,code:string>>"
-
-
-def plain(records, head, most):
-    parts, left = ([head] if head else []), most - len(head or "")
-    by = {s: [r for r in records if r[1] in s] for s in (("error", "timeout"), ("degraded",), ("success",))}
-    for tool, _, summary, error, code in by["error", "timeout"]:
-        half = left // 2
-        line = f"[ERROR] {tool} [{code or 'UNKNOWN'}]\n   Result: {summary[:min(300, half)]}\n   Diagnostic: {('(no error detail)' if error is None else error)[:min(200, half)]}"
-        if len(line) > left:
-            line = line[: left - 50] + CUT
-        parts.append(line)
-        left -= len(line)
-        if left < 100:
-            return "\n".join([*parts, SPENT])
-    for tool, _, summary, *_ in by["degraded",]:
-        line = f"[DEGRADED] {tool}: {summary[:min(200, left)]}"
-        if left > len(line):
-            parts.append(line)
-            left -= len(line)
-        elif left > 50:
-            parts.append(f"[DEGRADED] {tool}{DEGRADED_OMITTED}")
-            left -= 50
-    good = by["success",]
-    if good and left > 200:
-        share = max(60, left // len(good))
-        for tool, _, summary, *_ in good:
-            line = f"[OK] {tool}: {summary[:min(share - 30, 120)]}"
-            if left <= len(line):
-                parts.append(f"[OK] {tool}{SUCCESS_OMITTED}")
-                break
-            parts.append(line)
-            left -= len(line)
-    elif good:
-        parts.append(f"[OK] Success tools ({len(good)}): " + ", ".join(r[0] for r in good))
-    return "\n".join(parts)
-
+START = re.compile(r"^\[(ERROR|DEGRADED|OK)\] ", re.M)
 
 word = st.integers(0, 400).map(lambda n: ("ab cd" * 90)[:n])
 record = st.tuples(st.sampled_from("abc"), st.sampled_from(["error", "timeout", "degraded", "success"]), word, st.none() | word, st.none() | st.just("E1"))
 
 
-def test_budget_is_spent_as_stated(spark):
+@pytest.fixture(scope="module")
+def texts(spark):
+    """Many (records, head, most, text)."""
     cases = []
 
     @settings(max_examples=150, deadline=None, derandomize=True, database=None)
-    @given(st.lists(record, max_size=9), st.sampled_from([None, "", "plan", "p" * 150]), st.sampled_from([300, 600, 2000]))
+    @given(st.lists(record, max_size=9), st.sampled_from([None, "", "plan", "p" * 150]), st.sampled_from([300, 600, 2000, 100_000]))
     def collect(records, head, most):
         cases.append((len(cases), records, head, most))
 
     collect()
     df = spark.createDataFrame(cases, f"i int, r {KIND}, head string, most int").cache()
-    for most in (300, 600, 2000):
-        got = df.where(F.col("most") == most).select("i", within_budget(F.col("r"), F.col("head"), most).alias("t")).collect()
-        assert got and all(row["t"] == plain(cases[row["i"]][1], cases[row["i"]][2], most) for row in got)
+    out = []
+    for most in (300, 600, 2000, 100_000):
+        for row in df.where(F.col("most") == most).select("i", within_budget(F.col("r"), F.col("head"), most).alias("t")).collect():
+            out.append((*cases[row["i"]][1:], row["t"]))
+    assert len(out) == len(cases)
+    return out
+
+
+def test_kinds_stand_in_order_after_the_head(texts):
+    for records, head, _, text in texts:
+        kinds = START.findall(text)
+        assert kinds == sorted(kinds, key=["ERROR", "DEGRADED", "OK"].index)
+        if head:
+            assert text.startswith(head)
+        assert kinds.count("ERROR") <= sum(r[1] in ("error", "timeout") for r in records)
+        assert kinds.count("DEGRADED") <= sum(r[1] == "degraded" for r in records)
+
+
+def test_length_stays_near_the_budget(texts):
+    for records, _, most, text in texts:
+        # Beyond it: line breaks, a note at the end, and notes on degraded results, which cost 50 each.
+        names = len("[OK] Success tools (9): ") + 3 * len(records)
+        assert len(text) <= most + len(records) + len(SPENT) + 2 + 12 * sum(r[1] == "degraded" for r in records) + max(names, len(SUCCESS_OMITTED) + 6)
+
+
+def test_a_spent_budget_ends_the_text(texts):
+    assert any(SPENT in t for *_, t in texts)
+    for records, _, _, text in texts:
+        if SPENT in text:
+            assert text.endswith(SPENT) and set(START.findall(text)) == {"ERROR"}
+        else:
+            assert START.findall(text).count("ERROR") == sum(r[1] in ("error", "timeout") for r in records)
+        if CUT in text:
+            assert text.count(CUT) == 1 and text.endswith("\n".join([CUT, SPENT]))
+
+
+def test_with_room_every_record_has_its_share(texts):
+    for records, _, most, text in texts:
+        if most == 100_000:
+            good = [r for r in records if r[1] == "success"]
+            for tool, status, summary, error, code in records:
+                if status in ("error", "timeout"):
+                    assert f"[ERROR] {tool} [{code or 'UNKNOWN'}]\n   Result: {summary[:300]}\n   Diagnostic: {'(no error detail)' if error is None else error[:200]}" in text
+                else:
+                    assert f"[{'OK' if status == 'success' else 'DEGRADED'}] {tool}: {summary[: 120 if status == 'success' else 200]}" in text
+            assert text.count("[OK]") == len(good) and DEGRADED_OMITTED not in text and SUCCESS_OMITTED not in text
+
+
+def test_successes_share_what_is_left(texts):
+    for records, _, most, text in texts:
+        n = sum(r[1] == "success" for r in records)
+        for line in re.findall(r"^\[OK\] [abc]: (.*)$", text, re.M):
+            assert line.startswith("[success") or len(line) <= min(120, max(60, most // n) - 30)
+
+
+LONG = "x" * 400
+
+
+@pytest.mark.parametrize("records, head, most, text", [
+    ([], "plan", 300, "plan"), ([], None, 300, ""),
+    ([("a", "success", "hi", None, None)], None, 300, "[OK] a: hi"),
+    ([("a", "error", "boom", None, None)], "", 300, "[ERROR] a [UNKNOWN]\n   Result: boom\n   Diagnostic: (no error detail)"),
+    # 150 are left: half of them each, 192 with the labels, so 100 stay before the mark.
+    ([("a", "timeout", LONG, LONG, "E1")], "p" * 150, 300, "p" * 150 + "\n[ERROR] a [E1]\n   Result: " + "x" * 74 + CUT + "\n" + SPENT),
+    ([("a", "success", LONG, None, None), ("b", "success", "", None, None)], "p" * 150, 300, "p" * 150 + "\n[OK] Success tools (2): a, b"),
+    # Two share 300: 120 characters each; the second line would need 128 of 172, and fits.
+    ([("a", "success", LONG, None, None), ("b", "success", LONG, None, None)], None, 300, "[OK] a: " + "x" * 120 + "\n[OK] b: " + "x" * 120),
+    ([("a", "degraded", LONG, None, None), ("b", "degraded", LONG, None, None)], None, 300, "[DEGRADED] a: " + "x" * 200 + "\n[DEGRADED] b" + DEGRADED_OMITTED),
+])
+def test_worked_cases(spark, records, head, most, text):
+    df = spark.createDataFrame([(records, head)], f"r {KIND}, head string")
+    assert df.select(within_budget(F.col("r"), F.col("head"), most)).first()[0] == text
 
 
 def test_own_guard_rules_come_first(spark):
