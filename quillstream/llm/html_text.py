@@ -22,9 +22,8 @@ from pyspark.sql import functions as F
 
 from quillstream.llm.common import stored
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S
-)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_ATTRIBUTES = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _LABEL = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 #: Elements whose content is not markup, up to their end tag.
@@ -54,12 +53,17 @@ ROOTS = frozenset("html body article main".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
 
-class _Open:
-    __slots__ = ("tag", "start", "drop", "article", "key", "around", "root", "chars")
+#: Containers that an element whose end tag was left out does not reach beyond.
+HOLDS = frozenset("div section article main table ul ol dl body".split())
+
+
+class _Element:
+    __slots__ = ("tag", "parent", "drop", "article", "key", "around", "root", "chars", "hash", "gone")
 
-    def __init__(self, tag: str, start: int, drop: bool, article: bool):
-        self.tag, self.start, self.drop, self.article, self.key = tag, start, drop, article, None
-        self.around, self.root, self.chars = False, None, 0  # has an article inside; the article around; its text's length
+    def __init__(self, tag: str, parent: _Element | None, drop: bool, article: bool):
+        self.tag, self.parent, self.drop, self.article, self.key = tag, parent, drop, article, None
+        self.around, self.root, self.chars, self.gone = False, None, 0, False  # has an article inside; the article around; its text's length
+        self.hash = xxhash.xxh64(tag.encode("utf-8", "replace"))
 
 
 def dropped(attributes: str, article: bool) -> bool:
@@ -70,14 +74,57 @@ def dropped(attributes: str, article: bool) -> bool:
     return bool(found - HEAD_WORDS if article else found)
 
 
-def parse(html: str) -> tuple[list[tuple[str, list[_Open]]], list[_Open]]:
-    """(text blocks in page order, each with the elements around it; all elements).
+def _tags(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether it is an end tag, attributes) of each tag, in one pass; comments
+    and declarations have no name, character data has the name ``![cdata[``.
 
-    Each element that may be a template has the hash of its subtree in ``key``.
+    Where quotes don't close any more, tags from there on end at the next ``>``; a ``<`` that
+    begins nothing is text.
     """
-    stack: list[_Open] = []
-    elements: list[_Open] = []
-    blocks: list[tuple[str, list[_Open]]] = []
+    pos, last, quoted = 0, html.rfind(">"), True
+    while 0 <= (at := html.find("<", pos)) < last:
+        if html.startswith(("<!--", "<![CDATA["), at):
+            comment = html[at + 2] == "-"
+            end = html.find("-->" if comment else "]]>", at + (4 if comment else 9))
+            pos = end + 3 if end >= 0 else len(html)
+            yield at, pos, "" if comment else "![cdata[", False, "" if comment else html[at + 9 : end if end >= 0 else pos]
+            continue
+        if html.startswith(("<!", "<?"), at):
+            pos = html.find(">", at) + 1
+            yield at, pos, "", False, ""
+            continue
+        name = _NAME.match(html, at)
+        if not name:
+            pos = at + 1
+            continue
+        found = _ATTRIBUTES.match(html, name.end()) if quoted else None
+        quoted = found is not None
+        end = found.end() if found else html.find(">", name.end()) + 1
+        if not end:
+            return
+        pos = end
+        tag = name[2].lower()
+        yield at, pos, tag, bool(name[1]), html[name.end() : end - 1]
+        if tag in RAW and not name[1]:  # its content is no markup
+            close = re.compile(f"</{re.escape(tag)}\\b", re.I).search(html, pos)
+            end = html.find(">", close.end()) + 1 if close else 0
+            pos = end or len(html)
+            yield pos, pos, "", False, ""
+
+
+def parse(html: str) -> tuple[list[tuple[str, _Element | None]], list[_Element]]:
+    """(text blocks in page order, each with the element that holds it; all elements, those
+    around others first).
+
+    ``key`` of an element that may be a template is the hash of its subtree: tags and block
+    texts, without attributes and inline elements.  Time grows with the page's length alone:
+    an element's hash takes up those of its children, and lists by tag say what is open.
+    """
+    stack: list[_Element] = []
+    open_at: dict[str, list[int]] = {}  # places in the stack, by tag
+    holds: list[int] = []
+    elements: list[_Element] = []
+    blocks: list[tuple[str, _Element | None]] = []
     text: list[str] = []
     hidden: list = []  # a dropped inline element: its tag, how often it is open, the elements around it
 
@@ -86,78 +133,89 @@ def parse(html: str) -> tuple[list[tuple[str, list[_Open]]], list[_Open]]:
             words = unescape("".join(text)).split()
             text.clear()
             if words:
-                for e in stack:
-                    e.chars += sum(map(len, words))
-                blocks.append((" ".join(words), stack.copy()))
-
-    def close(to: int, end: int) -> None:
-        for e in stack[to:]:
-            if e.tag not in ROOTS and not (e.article and e.tag in TEXT_TAGS) and not e.around:
-                e.key = xxhash.xxh64_intdigest(html[e.start : end].encode("utf-8", "replace")) >> 1
-        del stack[to:]
+                block = " ".join(words)
+                if stack:
+                    stack[-1].chars += len(block)
+                    stack[-1].hash.update(b"\0" + block.encode("utf-8", "replace"))
+                blocks.append((block, stack[-1] if stack else None))
+
+    def close(to: int) -> None:
+        while len(stack) > to:
+            e = stack.pop()
+            open_at[e.tag].pop()
+            if e.tag in HOLDS:
+                holds.pop()
+            if e.parent is not None:
+                e.parent.hash.update(b"\1" + e.hash.digest())
         if hidden and len(stack) < hidden[2]:  # its end tag was left out
             hidden.clear()
 
-    pos = 0
-    while m := _TOKEN.search(html, pos):
-        if m.start() > pos:
-            if not hidden:
-                text.append(html[pos : m.start()])
-        pos = m.end()
-        tag = (m[2] or "").lower()
+    pos, skip = 0, False
+    for start, end, tag, ends, attributes in _tags(html):
+        if start > pos and not hidden and not skip:
+            text.append(html[pos:start])
+        pos, skip = end, False
         if not tag:
-            if m[0].startswith("<![CDATA[") and not hidden:
-                text.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
+            continue
+        if tag == "![cdata[":
+            if not hidden:
+                text.append(attributes.replace("&", "&amp;"))
             continue
         if tag in INLINE:
             if tag == "br" and not hidden:
                 text.append(" ")
             elif hidden and tag == hidden[0]:
-                hidden[1] += -1 if m[1] else 1
+                hidden[1] += -1 if ends else 1
                 if not hidden[1]:
                     hidden.clear()
-            elif not hidden and not m[1] and tag not in VOID and dropped(m[3], bool(stack and stack[-1].article)):
+            elif not hidden and not ends and tag not in VOID and dropped(attributes, bool(stack and stack[-1].article)):
                 hidden[:] = tag, 1, len(stack)
             continue
         flush()
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
-                    close(i, pos)
-                    break
+        if ends:
+            if open_at.get(tag):
+                close(open_at[tag][-1])
             continue
         if tag in RAW:
-            found = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(html, pos)
-            pos = found.end() if found else len(html)
+            skip = True
             continue
         if tag in VOID:
             continue
-        for i in range(len(stack) - 1, -1, -1):  # end tags that may be left out
-            if stack[i].tag == "p" or tag in ENDS.get(stack[i].tag, ()):
-                close(i, m.start())
-                break
-            if stack[i].tag in ("div", "section", "article", "main", "table", "ul", "ol", "dl", "body"):
-                break
-        article = bool(stack and stack[-1].article) or tag in ("article", "main")
+        # End tags that may be left out: the topmost such element, unless a container is above it.
+        left = max((open_at[t][-1] for t in ("p", *(t for t, by in ENDS.items() if tag in by)) if open_at.get(t)), default=-1)
+        if left >= 0 and left > (holds[-1] if holds else -1):
+            close(left)
+        above = stack[-1] if stack else None
+        article = bool(above and above.article) or tag in ("article", "main")
         drop = tag in DROP_TAGS or (tag == "header" and not article)
         if tag not in ROOTS:
-            drop = drop or dropped(m[3], article)
-        e = _Open(tag, m.start(), drop, article)
+            drop = drop or dropped(attributes, article)
+        e = _Element(tag, above, drop, article)
         elements.append(e)
+        e.root = above and (above if above.tag in ("article", "main") else above.root)
         if tag in ("article", "main"):
-            for x in stack:
+            x = above
+            while x is not None and not x.around:
                 x.around = True
                 x.drop = x.drop and (x.tag in DROP_TAGS or x.tag == "header")  # never by its label
-        e.root = next((x for x in reversed(stack) if x.tag in ("article", "main")), None)
-        if not m[3].rstrip().endswith("/") or tag in ROOTS:
+                x = x.parent
+        if not attributes.rstrip().endswith("/") or tag in ROOTS:
+            open_at.setdefault(tag, []).append(len(stack))
+            if tag in HOLDS:
+                holds.append(len(stack))
             stack.append(e)
     if pos < len(html) and not hidden:
         text.append(html[pos:])
     flush()
-    close(0, len(html))
-    for e in elements:  # what holds most of an article is the article
-        if e.root is not None and 2 * e.chars > e.root.chars:
-            e.key = None
+    close(0)
+    for e in reversed(elements):
+        if e.parent is not None:
+            e.parent.chars += e.chars
+    for e in elements:
+        # What holds an article or most of one is the article, and so are its own blocks.
+        most = e.root is not None and 2 * e.chars > e.root.chars
+        if e.chars and e.tag not in ROOTS and not (e.article and e.tag in TEXT_TAGS) and not e.around and not most:
+            e.key = e.hash.intdigest() >> 1
     return blocks, elements
 
 
@@ -173,10 +231,17 @@ def witness(html: str) -> tuple[int, list[int]]:
 
 
 def main_text(html: str, templates) -> str:
-    """The blocks outside dropped elements and outside subtrees whose hash is in
-    ``templates``, joined by line ends: those of the article if the page marks one."""
-    kept = [(t, around) for t, around in parse(html)[0] if not any(e.drop or e.key in templates for e in around)]
-    marked = [t for t, around in kept if any(e.article for e in around)]
+    """The blocks outside dropped elements and outside subtrees whose hash is in ``templates``,
+    joined by line ends.  Where the templates find nothing on a page, the article that it
+    marks, if any, bounds its text."""
+    blocks, elements = parse(html)
+    found = False
+    for e in elements:
+        template = e.key is not None and e.key in templates
+        found = found or template
+        e.gone = template or e.drop or (e.parent is not None and e.parent.gone)
+    kept = [(t, e) for t, e in blocks if e is None or not e.gone]
+    marked = [] if found else [t for t, e in kept if e is not None and e.article]
     return "\n".join(marked or [t for t, _ in kept])
 
 
@@ -225,7 +290,7 @@ def extract_text(
         return pd.DataFrame([witness(h) for h in html], columns=["page", "keys"])
 
     # Pages of a host that say the same are one witness.
-    pages_of = rows.select("host", witness_of("html").alias("w")).groupBy("host", "w.page").agg(F.first("w.keys").alias("keys"))
+    pages_of = rows.select("host", witness_of("html").alias("w")).groupBy("host", "w.page").agg(F.min("w.keys").alias("keys"))
     pages_of = stored(pages_of, "page-keys")
     keys = pages_of.select("host", F.explode("keys").alias("key"))
     counts = keys.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
