@@ -85,4 +85,4 @@ def test_time_grows_with_length_alone(made_of):
 def test_quotes_that_never_close():
     assert html_text.main_text('<p class="a">one</p><p title="two>three</p><p>four', ()) == "one\nthree\nfour"
     assert html_text.main_text("a < b and <3 <p>c", ()) == "a < b and <3\nc"
-    assert html_text.main_text("<p>a<!-- <p>b</p> --><![CDATA[x & <y>]]>c<script>if (a<b) '</p>'</script>d", ()) == "ax & <y>cd"
+    assert html_text.main_text("<p>a<!-- <p>b</p> --><![CDATA[x & <y>]]>c<script>if (a<b) '</p>'</script>d", ()) == "ax & <y>c\nd"
