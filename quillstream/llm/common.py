@@ -31,15 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     It cuts the lineage, survives the loss of executors and lets a costly result be
-    read twice.  The files go when the application ends.
+    read twice; with ``by`` there is a folder for each value of that column, of which there
+    must be few.  The files go when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     _delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,15 +2,16 @@
 
 Each rule is a regular expression.  From it a Boolean query over trigrams is derived
 that every match must satisfy.  The trigrams of all queries are indexed over the whole
-texts (one posting for each trigram and text), postings are intersected by text, and
-only the texts that satisfy a rule's query are verified with its expression.  A rule
-without mandatory trigrams scans every text.
+texts: a stored table, by trigram, of the texts that hold it.  Of each rule the lists
+that its query names are read and intersected, and only the texts that are left are
+verified with its expression.  A rule without mandatory trigrams scans every text.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -118,13 +119,28 @@ def trigrams(query: object) -> set[str]:
     return {query[1]} if query[0] == "tri" else set().union(*map(trigrams, query[1]))
 
 
-def _holds(query: object, has: Column) -> Column:
-    if query[0] == "tri":
-        return F.array_contains(has, query[1])
-    out = _holds(query[1][0], has)
-    for q in query[1][1:]:
-        out = (out & _holds(q, has)) if query[0] == "and" else (out | _holds(q, has))
-    return out
+def index_texts(low: DataFrame, wanted: list[str]) -> DataFrame:
+    """The inverted index of texts (key, low): postings (trigram, key), trigram being its place
+    in ``wanted``, a folder for each, so that a query reads the lists that it names alone."""
+    has = F.filter(F.array(*[F.when(F.contains(F.col("low"), F.lit(t)), F.lit(i)) for i, t in enumerate(wanted)]), lambda i: i.isNotNull())
+    return stored(low.select(F.explode(has).alias("trigram"), "key"), "secret-postings", by="trigram")
+
+
+def texts_of(postings: DataFrame, query: object, wanted: list[str]) -> DataFrame:
+    """(key) of the texts that satisfy a query: the lists that it names are read, and those
+    that a text is in say whether the Boolean condition holds."""
+    lists = postings.where(F.col("trigram").isin([wanted.index(t) for t in sorted(trigrams(query))]))
+    met = lists.groupBy("key").agg(F.collect_set("trigram").alias("has"))  # a query's trigrams at most
+
+    def holds(q: object) -> Column:
+        if q[0] == "tri":
+            return F.array_contains("has", wanted.index(q[1]))
+        out = holds(q[1][0])
+        for x in q[1][1:]:
+            out = (out & holds(x)) if q[0] == "and" else (out | holds(x))
+        return out
+
+    return met.where(holds(query)).select("key")
 
 
 def _spans(text: Column, n: int, rule: Rule) -> Column:
@@ -163,8 +179,9 @@ def scan_secrets(
     """(id, spans) for every row: spans is array<struct<start, end, n>>, n the rule's number.
 
     Spans are sorted by start, then rule.  A null text counts as empty and has no spans;
-    rows that repeat, or share an id, are each scanned by their own text.  The candidates
-    are broadcast only if at most ``broadcast_rows``; otherwise they are joined by shuffle.
+    rows that repeat, or share an id, are each scanned by their own text, whole however long;
+    an empty table gives no rows; further columns, whatever their names, are left out.  The
+    candidates are broadcast only if at most ``broadcast_rows``, else joined by shuffle.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
@@ -173,12 +190,9 @@ def scan_secrets(
     wanted = sorted(set().union(*map(trigrams, queries)))
     indexed = [n for n, q in enumerate(queries) if q is not True]
     if indexed:
-        low = rows.select("key", ascii_lower(F.col("text")).alias("low"))
-        found = F.filter(F.array(*map(F.lit, wanted)), lambda t: F.contains(F.col("low"), t))
-        postings = low.select("key", F.explode(found).alias("trigram"))
-        lists = postings.groupBy("key").agg(F.collect_set("trigram").alias("has"))
-        verify = F.filter(F.array(*[F.when(_holds(queries[n], F.col("has")), F.lit(n)) for n in indexed]), lambda n: n.isNotNull())
-        candidates = lists.select("key", verify.alias("verify")).where(F.size("verify") > 0)
+        postings = index_texts(rows.select("key", ascii_lower(F.col("text")).alias("low")), wanted)
+        each = [texts_of(postings, queries[n], wanted).select("key", F.lit(n).alias("n")) for n in indexed]
+        candidates = reduce(DataFrame.union, each).groupBy("key").agg(F.collect_set("n").alias("verify"))  # a few rules
         candidates = stored(candidates, "secret-candidates")
         rows = rows.join(broadcast_if_small(candidates, broadcast_rows), "key", "left")
     else:
