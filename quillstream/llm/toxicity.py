@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 
 from quillstream.llm.common import broadcast_if_small, crc_text, stored
 
-#: Beginnings of words are told apart up to so many characters.
+#: A character is predicted from what precedes it in a word, up to so many characters in all.
 DEPTH = 16
+#: The windows of a longer word begin at each letter that so many follow, itself included.
+LEAST_WINDOW = 4
 END = "$"
 #: A word counts by what its ratio (a natural logarithm) exceeds this.
 MARGIN = 2.0
@@ -45,7 +47,19 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if isinstance(text, str) else []
+    """Runs of letters; one of more than DEPTH, such as a sentence without blanks, is read whole
+    through a window of DEPTH letters that slides over it, so that an expression inside it
+    begins a window as it would begin a word."""
+    words = _WORD.findall(text.lower()) if isinstance(text, str) else []
+    if not words or max(map(len, words)) <= DEPTH:
+        return words
+    out: list[str] = []
+    for w in words:
+        if len(w) <= DEPTH:
+            out.append(w)
+        else:
+            out += [w[i : i + DEPTH] for i in range(len(w) - LEAST_WINDOW + 1)]
+    return out
 
 
 def count_words(docs: DataFrame, text_col: str, toxic_col: str) -> DataFrame:
@@ -302,9 +316,11 @@ def score_toxicity(
     """Add ``score`` (0 to 1, higher: label 1 likelier) to every row.
 
     ``counted`` and ``calibrated`` say, over ids of ``labels``, which labelled rows are
-    learned from; they should exclude each other.  The score sees the text alone.  A null
-    text, or one without words, has no evidence either way and gets the curve's value at 0.
-    Of an id labelled twice the larger label counts.  Rows that repeat score alike.
+    learned from; they should exclude each other.  The score sees the text alone, the whole
+    of it however long.  A null text, or one without words, has no evidence either way and
+    gets the curve's value at 0.  Of an id labelled twice the larger label counts.  Rows that
+    repeat score alike; an empty table gives no rows.  Further columns are kept, but for
+    names with two leading underscores.
     """
     evidence, slope, shift = fit_toxicity(docs, labels, counted, calibrated, id_col, text_col, label_col, max_calibration, words_sent, broadcast_rows)
     x = F.least(F.greatest(slope * F.col("__evidence") + shift, F.lit(-30.0)), F.lit(30.0))

@@ -209,6 +209,7 @@ def test_toxicity_model_has_every_beginning(spark):
     r = np.random.default_rng(11)
     rows = [(i, prose(i, 12) + f" zil{'abcdefgh'[i % 8]}{'xyz'[i % 3]} {'qrstuvw'[i % 7]}once{'abcdefghij'[i % 10]} " + "long" * (i % 6)) for i in range(60)]
     rows += [(100, "unseen Zilpha"), (101, "zilax zilax ünseen"), (102, None), (103, "... Ω"), (101, "zilax zilax ünseen")]
+    rows += [(104, "someverylongword" + "zilaxonce" * 3), (105, "x" * 17 + "zilax")]
     labels = [(i, int(r.random() < 0.4)) for i in range(40)]
     counts, toxic = {}, dict(labels)
     for i, t in rows[:30]:
@@ -231,6 +232,13 @@ def test_toxicity_model_has_every_beginning(spark):
         assert sorted((str(x["doc_id"]), round(x["x"], 5)) for x in got) == expected
 
 
+def test_long_words_are_read_whole():
+    words = toxicity.words_of("short " + "abcdefghijklmnop" + " " + "abcdefghijklmnopqrst 12 ab_c")
+    assert words[:2] == ["short", "abcdefghijklmnop"] and words[-2:] == ["ab", "c"]
+    assert words[2:-2] == ["abcdefghijklmnopqrst"[i : i + 16] for i in range(17)]
+    assert words[-3] == "qrst"
+
+
 def test_urls(spark):
     urls = ["http://com/x", "https://WWW.Example.com/en/1", "http://a.example.com/en/", "http://b.net/es/?q", "net/es/", None, "http://x.org", "http://notexample.com/en/", "http://net/fr/#t", "http://example.com"]
     out = url_filter.op6(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()
