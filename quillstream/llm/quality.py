@@ -35,7 +35,9 @@ N_FEATURES = N_CLASSES + 6
 
 def passage_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(features by passage, number of passages by text); a text without words is one
-    passage of zeros.  All texts are handled as one array of bytes."""
+    passage.  All texts are handled as one array of bytes, each as if it were alone."""
+    if not len(texts):
+        return np.zeros((0, N_FEATURES)), np.zeros(0, np.int64)
     raw = [(t if isinstance(t, str) else "").encode("utf-8", "replace") for t in texts]
     sizes = np.array([len(r) + 1 for r in raw], np.int64)
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)  # a line end closes each text
@@ -47,23 +49,24 @@ def passage_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     bags = np.maximum(1, -(-words // PASSAGE_WORDS))
     bag_start = np.cumsum(bags) - bags
     x = np.zeros((int(bags.sum()), N_FEATURES))
-    if not len(starts):
-        return x, bags
     doc_of = np.repeat(np.arange(len(raw)), words)
     passage = bag_start[doc_of] + (np.arange(len(starts)) - first[doc_of]) // PASSAGE_WORDS
-    # Bytes before a text's first word count with its first passage.
-    edges = np.r_[starts, len(data)]
-    lead = np.repeat(bag_start, sizes)[: starts[0]]
-    of_byte = np.r_[lead, np.repeat(passage, np.diff(edges))]
+    # A byte counts with the last word of its own text that begins at or before it; those
+    # before a text's first word, or of one without words, with its first passage.
+    last = np.repeat(np.arange(-1, len(starts)), np.diff(np.r_[0, starts, len(data)]))
+    of_text = np.repeat(np.arange(len(raw)), sizes)
+    inside = last >= first[of_text]
+    of_byte = bag_start[of_text]
+    of_byte[inside] = passage[last[inside]]
     counts = np.bincount(of_byte * N_CLASSES + _CLASS[data], minlength=len(x) * N_CLASSES).reshape(len(x), N_CLASSES)
     ends = np.flatnonzero(space & np.r_[False, ~space[:-1]])
     length = ends - starts
     total = np.cumsum(np.r_[0, np.where(space, 0, _MIX[data])])  # wraps alike everywhere
     code = (total[ends] - total[starts]) ^ (length << 48)
-    again = np.r_[False, (code[1:] == code[:-1]) & (doc_of[1:] == doc_of[:-1])]
+    again = np.r_[False, (code[1:] == code[:-1]) & (doc_of[1:] == doc_of[:-1])][: len(code)]
     n = np.bincount(passage, minlength=len(x))
     order = np.lexsort((code, passage))
-    new = np.r_[True, (np.diff(code[order]) != 0) | (np.diff(passage[order]) != 0)]
+    new = np.r_[True, (np.diff(code[order]) != 0) | (np.diff(passage[order]) != 0)][: len(code)]
     distinct = np.bincount(passage[order[new]], minlength=len(x))
     upper, lower = counts[:, 1], counts[:, 0] + counts[:, N_CLASSES - 1]
     some = np.maximum(n, 1)
