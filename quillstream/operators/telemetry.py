@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -89,13 +90,21 @@ def plan_steps_histogram(spark, d):
     return one.select(F.inline("b"))
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b of doubles where b may be 0: NaN or infinite then, no error."""
+    by_zero = F.when((a == 0) | F.isnan(a), F.lit(float("nan"))).when(a > 0, F.lit(float("inf"))).when(a < 0, F.lit(float("-inf")))
+    return F.when(b == 0, by_zero).otherwise(F.try_divide(a, b))
+
+
 @query("trace_waterfall", f"""WITH {R_SQL} SELECT event_id, user_id, CAST(day AS VARCHAR) AS day, tool, date_diff('microsecond', first_value(ts) OVER w, ts) / 1000.0::DOUBLE AS offset_ms,
  round(100 * elapsed_ms / sum(elapsed_ms) OVER (PARTITION BY user_id, day), 4) AS share FROM r WINDOW w AS (PARTITION BY user_id, day ORDER BY ts, event_id)""")
 def trace_waterfall(spark, d):
+    """Where each call of a trace begins, and its share of the trace's time.  Traces whose calls
+    took no time at all have no shares: nothing by nothing is NaN, as in SQL."""
     w = W.partitionBy("user_id", "day")
     r = tool_records(spark, d)
     offset = F.timestamp_diff("MICROSECOND", F.first("ts").over(w.orderBy("ts", "event_id")), F.col("ts")) / 1000.0
-    share = F.round(F.col("elapsed_ms") * 100 / F.sum("elapsed_ms").over(w), 4)
+    share = F.round(quotient(F.col("elapsed_ms") * 100, F.sum("elapsed_ms").over(w)), 4)
     return r.select("event_id", "user_id", F.col("day").cast("string").alias("day"), "tool", offset.alias("offset_ms"), share.alias("share"))
 
 
