@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillstream.functions.best import best
 from quillstream.plans.registry import query
 from quillstream.sources.tables import table
 
@@ -99,13 +100,13 @@ def user_profile(spark, d):
 @query("retrieve_topk", """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, vec_id, round(list_cosine_similarity(a, embedding::DOUBLE[]), 4) AS score FROM q JOIN embeddings ON vec_id <> query_id)
 SELECT query_id, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""")
-def retrieve_topk(spark, d, block_queries: int = 512, part_rows: int = 1 << 16, k: int = 20):
+def retrieve_topk(spark, d, block_queries: int = 4096, part_rows: int = 1 << 14, k: int = 20):
     """The 20 nearest by cosine (4 places) for every row whose id is divisible by 50, against
     all rows.  Blocks of queries meet parts of the data, as many of either as there are rows
-    for, in one matrix product; each query keeps the best of a part before the parts are put
-    together."""
+    for; a task multiplies few queries at a time, and each keeps no more than the best of a
+    part, however many are equal, before the parts are put together."""
     e = table(spark, d, "embeddings").where("embedding IS NOT NULL")
-    v = e.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.size("embedding").alias("dims"))
+    v = e.select("vec_id", F.col("embedding").alias("v"), F.size("embedding").alias("dims"))
     asked = F.col("vec_id") % 50 == 0
     sizes = e.agg(F.count(F.lit(1)).alias("rows"), F.count_if(asked).alias("queries")).first()
     blocks, parts = (max(1, -(-n // size)) for n, size in ((sizes["queries"], block_queries), (sizes["rows"], part_rows)))
@@ -116,21 +117,27 @@ def retrieve_topk(spark, d, block_queries: int = 512, part_rows: int = 1 << 16,
     x = v.withColumn("part", dealt(parts)).withColumn("block", upto(blocks))
 
     def best_of_part(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        matrix = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        matrix = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy().astype(float).reshape(t.num_rows, -1)
         out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
         if queries.num_rows and rows.num_rows:
             ids, others = queries.column("query_id").to_numpy(), rows.column("vec_id").to_numpy()
             a, b = matrix(queries, "a"), matrix(rows, "v")
-            scores = (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :])
-            scores[ids[:, None] == others[None, :]] = -np.inf
-            # Four places are compared in the end, so what is this close to the k-th may be as good.
-            least = np.partition(scores, max(0, len(others) - k), axis=1)[:, max(0, len(others) - k)]
-            i, j = np.nonzero((scores >= least[:, None] - 2e-4) & (scores > -np.inf))
-            out = [[ids[i]], [others[j]], [scores[i, j]]]
+            lengths = np.linalg.norm(b, axis=1)
+            for i in range(0, len(ids), 64):
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    scores = (a[i : i + 64] @ b.T) / (np.linalg.norm(a[i : i + 64], axis=1)[:, None] * lengths)
+                # What has no direction comes first, as in SQL.
+                scores[np.isnan(scores)] = 2
+                for query, row in zip(ids[i : i + 64], scores, strict=True):
+                    mine = others != query
+                    found, score = best(others[mine], row[mine], k)
+                    for column, values in zip(out, (np.full(len(found), query), found, np.where(score == 2, np.nan, score)), strict=True):
+                        column.append(values)
         return pa.table([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score"])
 
-    s = q.groupBy(*keys).cogroup(x.groupBy(*keys)).applyInArrow(best_of_part, "query_id long, vec_id long, score double")
-    s = s.withColumn("score", F.round("score", 4))
+    # A task for each pair of a block and a part, so that none holds many.
+    tasks = lambda df: df.repartition(blocks * parts, *keys).groupBy(*keys)
+    s = tasks(q).cogroup(tasks(x)).applyInArrow(best_of_part, "query_id long, vec_id long, score double")
     nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return s.withColumn("r", nth).where(F.col("r") <= k).drop("r")
 
