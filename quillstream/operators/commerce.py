@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions.best import best
 from quillstream.plans.registry import query
+from quillstream.sources.scratch import stored
 from quillstream.sources.tables import table
 
 
@@ -73,13 +74,15 @@ e AS (SELECT a.l_partkey AS p, b.l_partkey AS q, count(*) AS n FROM o a JOIN o b
 h AS (SELECT p, q, 1 AS hop FROM e UNION ALL SELECT a.p, b.q, 2 FROM e a JOIN e b ON a.q = b.p WHERE a.p <> b.q)
 SELECT p AS product, q AS related, min(hop) AS hops FROM h GROUP BY 1, 2""")
 def co_purchase_khop(spark, d):
-    """Products reached in two steps, five neighbours a step; an order's lines are few, so
-    pairs inside an order stay few as well."""
-    o = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p")).distinct()
-    pairs = o.join(o.select("l_orderkey", F.col("p").alias("q")), "l_orderkey").where("p != q").groupBy("p", "q").count()
-    e = pairs.withColumn("r", F.row_number().over(W.partitionBy("p").orderBy(F.desc("count"), "q"))).where("r <= 5").select("p", "q")
-    two = e.join(e.select(F.col("p").alias("q"), F.col("q").alias("z")), "q").where("p != z").select("p", F.col("z").alias("q"), F.lit(2).alias("hop"))
-    h = e.select("p", "q", F.lit(1).alias("hop")).union(two)
+    """Products reached in two steps, five neighbours a step."""
+    from quillstream.operators.graphs import TASK_PAIRS, bought_together, strongest_edges
+
+    e = stored(strongest_edges(bought_together(spark, d), 5).select(F.col("src").alias("p"), F.col("dst").alias("q")), "khop-edges")
+    # Each edge stands for itself and for the five behind it.
+    tasks = max(1, -(-6 * e.count() // TASK_PAIRS))
+    behind = e.select(F.col("p").alias("q"), F.col("q").alias("z")).repartition(tasks, "q")
+    two = e.repartition(tasks, "q").join(behind, "q").where("p != z").select("p", F.col("z").alias("q"), F.lit(2).alias("hop"))
+    h = e.select("p", "q", F.lit(1).alias("hop")).union(two).repartition(tasks, "p")
     return h.groupBy(F.col("p").alias("product"), F.col("q").alias("related")).agg(F.min("hop").alias("hops"))
 
 

@@ -12,6 +12,8 @@ from quillstream.sources.tables import S_SQL, plan_steps, table
 
 #: Into so many parts the visitors of a node are dealt, so that a hub is no single task's.
 SALTS = 16
+#: Pairs of products that one task counts, about; some 100 bytes each.
+TASK_PAIRS = 500_000
 
 
 def strongest_edges(edges: DataFrame, fanout: int) -> DataFrame:
@@ -46,12 +48,18 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hops: int = 3, per_hop: int = 50,
     return met.where("hop > 0")
 
 
-def bought_together(spark, d: str) -> DataFrame:
+def bought_together(spark, d: str, task_pairs: int = TASK_PAIRS) -> DataFrame:
     """(src, dst, weight): in how many orders two products stand together; an order's lines are
-    few, and so are its pairs."""
-    o = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("src")).distinct()
-    pairs = o.join(o.select("l_orderkey", F.col("src").alias("dst")), "l_orderkey").where("src != dst")
-    return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
+    few, and so are its pairs.  Pairs are counted by their first product, in as many tasks as
+    there are pairs for, so that what a task holds doesn't grow with the input."""
+    orders = table(spark, d, "lineitem").where("l_partkey IS NOT NULL AND l_orderkey IS NOT NULL").groupBy("l_orderkey")
+    orders = stored(orders.agg(F.collect_set("l_partkey").alias("ps")), "orders-products")
+    pairs = orders.agg(F.sum(F.size("ps").cast("long") * (F.size("ps") - 1)).alias("n")).first()["n"] or 0
+    first = orders.select("ps", F.explode("ps").alias("src"))
+    # What is dealt out is a product with its whole order, less than its pairs.
+    first = first.repartition(max(1, -(-pairs // task_pairs)), "src")
+    each = first.select("src", F.explode("ps").alias("dst")).where("src != dst")
+    return each.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
 
 
 def _hop_sql(hop: int) -> str:
