@@ -18,6 +18,9 @@ from quillstream.plans.registry import query
 from quillstream.sources.scratch import scratch_path
 from quillstream.sources.tables import E_SQL, R_SQL, level, status
 
+#: Into so many buckets the keys of a stream are dealt where each key has few rows.
+BUCKETS = 1024
+
 
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
@@ -55,29 +58,39 @@ def stream_status_log(spark, d):
     return finished(e.where("status != 'success'"), "status-log").groupBy("tool", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def stored_calls(stream: DataFrame, keys: list[str], ttl_seconds: int) -> DataFrame:
+def stored_calls(stream: DataFrame, keys: list[str], ttl_seconds: int, buckets: int = BUCKETS) -> DataFrame:
     """The calls of a stream (event_id, ts and ``keys``) that are carried out: the first of a
     key and the first after the stored one has outlived ``ttl_seconds``.  The state of a key
-    is one moment; it is dropped when the watermark has passed the end of its life."""
-    ttl = pd.Timedelta(seconds=ttl_seconds)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    is one moment; it is dropped when the watermark has passed the end of its life.  Keys are
+    few rows each, so a state holds all keys of a bucket."""
+    ttl, names = ttl_seconds * 1_000_000, stream.columns
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        watermark = state.getCurrentWatermarkMs() * 1000
+        stored = dict(zip(*state.get, strict=True)) if state.exists else {}
+        out = None
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+            us = rows["ts"].astype("datetime64[us]").astype("int64").tolist()
+            keep = []
+            for key, moment in zip(rows["key"], us, strict=True):
+                had = stored.get(key)
+                new = had is None or moment - had > ttl
+                if new:
+                    stored[key] = moment
+                keep.append(new)
+            out = rows.loc[keep, names]
+        alive = {k: m for k, m in stored.items() if m + ttl >= watermark}
+        if alive:
+            state.update((list(alive), list(alive.values())))
+            state.setTimeoutTimestamp(max(max(alive.values()) + ttl, watermark) // 1000 + 1)
+        elif state.exists:
             state.remove()
-            return
-        stored = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        keep = []
-        for moment in rows["ts"]:
-            new = stored is None or moment - stored > ttl
-            stored = moment if new else stored
-            keep.append(new)
-        state.update((stored.value // 1000,))
-        ends = (stored + ttl).value // 1_000_000 + 1
-        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
-        yield rows[keep]
-
-    return stream.groupBy(*keys).applyInPandasWithState(step, stream.schema, "stored long", "append", GroupStateTimeout.EventTimeTimeout)
+        if out is not None:
+            yield out
+
+    dealt = stream.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).withColumn("key", F.to_json(F.struct(*keys)))
+    state = "keys array<string>, stored array<bigint>"
+    return dealt.groupBy("bucket").applyInPandasWithState(step, stream.schema, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def calls(spark: SparkSession, d: str) -> DataFrame:
