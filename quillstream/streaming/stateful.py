@@ -13,11 +13,12 @@ from contextlib import contextmanager
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quillstream.plans.registry import query
 from quillstream.sources.tables import E_SQL, P_SQL
-from quillstream.streaming.event_streams import finished, stream_events
+from quillstream.streaming.event_streams import BUCKETS, finished, stream_events
 
 DAY_US = 86_400_000_000
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -35,68 +36,74 @@ def rocks_state(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-class NearestTouch(StatefulProcessor):
-    """Purchases of a user with the nearest touch at most ``days`` before.
+#: The state of a bucket: what its users were shown by day, and the purchases that wait.
+SHOWN, BOUGHT = ["user_id", "day", "product", "first", "trace"], ["event_id", "user_id", "product", "at"]
 
-    A day of touches is one row of state: its first moment and trace, and the products.  As
-    products that are shown later in a day count from its first moment, purchases wait for the
-    end of their day, when a timer puts each out once, with its touch if it has one.  Days
-    that no purchase can reach any more are dropped then.
-    """
 
-    def __init__(self, days: int = 7):
-        self.days = days
+def shown_by_day(shown: pd.DataFrame) -> pd.DataFrame:
+    """A row for each product of a user's day, with the first moment and trace of that day."""
+    whole = shown.groupby(["user_id", "day"])
+    shown = shown.assign(first=whole["first"].transform("min"), trace=whole["trace"].transform("min"))
+    return shown.drop_duplicates(["user_id", "day", "product"])
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.touched = handle.getMapState("touched", "day long", "first long, trace long, products array<long>")
-        self.bought = handle.getListState("bought", "event_id long, product long, at long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            us = batch["ts"].astype("datetime64[us]").astype("int64")
-            batch = batch.assign(us=us, day=us // DAY_US)
-            shown = batch[batch["kind"] == "touch"]
-            for day, part in shown.groupby("day"):
-                first, trace, products = int(part["us"].min()), int(part["event_id"].min()), {int(p) for p in part["product"]}
-                if self.touched.containsKey((int(day),)):
-                    had = self.touched.getValue((int(day),))
-                    first, trace, products = min(first, had[0]), min(trace, had[1]), products | set(had[2])
-                self.touched.updateValue((int(day),), (first, trace, sorted(products)))
-            bought = batch[batch["kind"] == "purchase"]
-            if len(bought):
-                self.bought.appendList([tuple(map(int, r)) for r in bought[["event_id", "product", "us"]].itertuples(index=False)])
-                for day in bought["day"].unique():
-                    self.handle.registerTimer((int(day) + 1) * DAY_US // 1000)
-        return iter(())
+def nearest_of(bought: pd.DataFrame, shown: pd.DataFrame, days: int) -> pd.DataFrame:
+    """Purchases with the last day of touches that shows the product and begins at most ``days``
+    before; there is none where trace_id is missing, as it is without a user or a product."""
+    known = bought["user_id"].notna() & bought["product"].notna()
+    shown = shown.assign(touched=shown["first"]).sort_values("first", kind="stable")
+    near = pd.merge_asof(
+        bought[known].astype("int64").sort_values("at", kind="stable"), shown, left_on="at", right_on="first", by=["user_id", "product"], tolerance=days * DAY_US
+    )
+    near = pd.concat([df.astype("Int64") for df in (near, bought[~known])]).rename(columns={"at": "bought", "trace": "trace_id"})
+    return near[["event_id", "user_id", "product", "trace_id", "touched", "bought"]]
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        held = [tuple(r) for r in self.bought.get()]
-        due = [r for r in held if r[2] < end]
-        self.bought.put([r for r in held if r[2] >= end]) if len(due) < len(held) else self.bought.clear()
-        days = {k[0]: v for k, v in self.touched.iterator()}
-        out = []
-        for event_id, product, at in due:
-            near = [(v[0], -v[1]) for v in days.values() if product in v[2] and v[0] <= at <= v[0] + self.days * DAY_US]
-            touched, trace = max(near, default=(None, None))
-            out.append((event_id, key[0], product, None if trace is None else -trace, touched, at))
-        for day in days:
-            if (day + 1 + self.days) * DAY_US < end:
-                self.touched.removeKey((day,))
-        if out:
-            frame = pd.DataFrame(out, columns=["event_id", "user_id", "product", "trace_id", "touched", "bought"])
-            yield frame.astype({"trace_id": "Int64", "touched": "Int64"})
 
-    def close(self) -> None:
-        pass
+def nearest_touches(stream: DataFrame, days: int = 7, buckets: int = BUCKETS) -> DataFrame:
+    """(event_id, user_id, product, trace_id, touched, bought) for each purchase of a stream with
+    a watermark (event_id, ts, user_id, product, kind: touch or purchase); times in microseconds.
 
+    A day of touches counts from its first moment and trace.  As products that are shown later
+    in a day count from there too, purchases wait for the end of their day, when a timeout puts
+    each out once, with its touch if it has one.  Days that no purchase can reach any more
+    are dropped then.  A user's rows are few, so a state holds all users of a bucket.
+    """
 
-def nearest_touches(stream: DataFrame, days: int = 7) -> DataFrame:
-    """(event_id, user_id, product, trace_id, touched, bought) for each purchase of a stream with
-    a watermark (event_id, ts, user_id, product, kind: touch or purchase); times in microseconds."""
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        watermark = state.getCurrentWatermarkMs() * 1000
+        held = state.get if state.exists else [[]] * (len(SHOWN) + len(BOUGHT))
+        shown = pd.DataFrame(dict(zip(SHOWN, held[: len(SHOWN)], strict=True)), dtype="int64")
+        bought = pd.DataFrame(dict(zip(BOUGHT, held[len(SHOWN) :], strict=True)), dtype="Int64")
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches))
+            us = rows["ts"].astype("datetime64[us]").astype("int64")
+            rows = rows.assign(at=us, first=us, day=us // DAY_US, trace=rows["event_id"])
+            is_touch = (rows["kind"] == "touch") & rows["user_id"].notna() & rows["product"].notna()
+            shown = shown_by_day(pd.concat([shown, rows.loc[is_touch, SHOWN].astype("int64")]))
+            bought = pd.concat([bought, rows.loc[rows["kind"] == "purchase", BOUGHT].astype("Int64")])
+        ends = (bought["at"] // DAY_US + 1) * DAY_US
+        due = bought[ends <= watermark]
+        if len(due):
+            yield nearest_of(due, shown, days)
+        bought = bought[ends > watermark]
+        # A purchase that waits, or that may still come, is not before this moment.
+        since = int(bought["at"].min()) if len(bought) else watermark
+        last = (shown["day"] + 1 + days) * DAY_US
+        kept = last >= min(since, watermark)
+        shown, last = shown[kept], last[kept]
+        if len(bought) or len(shown):
+            waiting = bought.astype(object).where(bought.notna(), None)
+            state.update(tuple(df[c].tolist() for df, names in ((shown, SHOWN), (waiting, BOUGHT)) for c in names))
+            # A timeout comes when the watermark is beyond it.
+            wake = int(ends[ends > watermark].min()) - 1000 if len(bought) else int(last.min())
+            state.setTimeoutTimestamp(max(wake, watermark) // 1000)
+        elif state.exists:
+            state.remove()
+
+    dealt = stream.withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int"))
     schema = "event_id long, user_id long, product long, trace_id long, touched long, bought long"
-    return stream.groupBy("user_id").transformWithStateInPandas(NearestTouch(days), schema, "Append", "EventTime")
+    state = ", ".join(f"{c} array<bigint>" for c in [*(f"shown_{c}" for c in SHOWN), *(f"bought_{c}" for c in BOUGHT)])
+    return dealt.groupBy("bucket").applyInPandasWithState(step, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _cut(*kinds: str) -> str:
