@@ -22,28 +22,45 @@ def strongest_edges(edges: DataFrame, fanout: int) -> DataFrame:
     return edges.withColumn("n", n).where(F.col("n") <= fanout).drop("n")
 
 
-def k_hop(edges: DataFrame, seeds: DataFrame, hops: int = 3, per_hop: int = 50, salts: int = SALTS) -> DataFrame:
+def k_hop(edges: DataFrame, seeds: DataFrame, hops: int = 3, per_hop: int = 50, salts: int = SALTS, task_pairs: int = TASK_PAIRS) -> DataFrame:
     """(seed, node, hop, weight): what each seed reaches, hop by hop.
 
     A hop follows the ``per_hop`` heaviest edges of each node of the frontier and keeps the
     ``per_hop`` heaviest nodes that the seed has not met before; a path weighs the product of
-    its edges, a node its heaviest path.  Every round is a stored table.  Many seeds may stand
-    at one node: they are dealt by salt, and its few edges are copied to each.
+    its edges, a node its heaviest path.  Every round is a stored table.  A node's edges are
+    one list.  Many seeds may stand at one node: those of a hub are dealt by salt, and its
+    list alone is copied.  There are as many tasks as steps ask for, so that what a task
+    holds doesn't grow with the input.
     """
-    part = lambda: F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    ways = stored(strongest_edges(edges, per_hop), "hop-edges").withColumn("salt", part())
+    ways = strongest_edges(edges, per_hop).groupBy("src").agg(F.collect_list(F.struct("dst", "weight")).alias("ways"))
+    ways = stored(ways, "hop-edges")
+    lists = ways.count()
     frontier = seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).alias("hop"), F.lit(1).cast("long").alias("weight"))
     frontier = stored(frontier.distinct(), "hop-0")
     met = frontier
     for hop in range(1, hops + 1):
-        at = frontier.select("seed", F.col("node").alias("src"), F.col("weight").alias("so_far"), F.pmod(F.xxhash64("seed"), F.lit(salts)).cast("int").alias("salt"))
-        steps = at.join(ways, ["src", "salt"]).groupBy("seed", F.col("dst").alias("node")).agg(F.max(F.col("so_far") * F.col("weight")).alias("weight"))
-        new = steps.join(met.select("seed", "node"), ["seed", "node"], "left_anti")
+        rows = frontier.count()
+        if not rows:
+            break
+        # A list may be as long as per_hop edges.
+        tasks = max(1, -(-max(rows, lists) * per_hop // task_pairs))
+        hubs = frontier.groupBy("node").count().where(F.col("count") > max(1, task_pairs // per_hop)).select(F.col("node").alias("hub"))
+        # Hubs are few, as each is many rows of the frontier.
+        hubs = F.broadcast(stored(hubs, "hop-hubs"))
+        at = frontier.select("seed", F.col("node").alias("src"), F.col("weight").alias("so_far")).join(hubs, F.col("src") == F.col("hub"), "left")
+        at = at.select("seed", "src", "so_far", F.when(F.col("hub").isNotNull(), F.pmod(F.xxhash64("seed"), F.lit(salts)).cast("int")).otherwise(0).alias("salt"))
+        copies = F.when(F.col("hub").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+        to = ways.join(hubs, F.col("src") == F.col("hub"), "left").select("src", "ways", F.explode(copies).alias("salt"))
+        dealt = lambda df: df.repartition(tasks, "src", "salt")
+        # Lists go to their seeds whole; what a seed has met goes beside its steps.
+        steps = dealt(at).join(dealt(to), ["src", "salt"]).select("seed", "so_far", "ways")
+        before = met.select("seed", F.lit(None).cast("long").alias("so_far"), F.array(F.struct(F.col("node").alias("dst"), F.lit(None).cast("long").alias("weight"))).alias("ways"))
+        each = steps.unionByName(before).repartition(tasks, "seed").select("seed", "so_far", F.explode("ways").alias("way"))
+        each = each.select("seed", F.col("way.dst").alias("node"), (F.col("so_far") * F.col("way.weight")).alias("weight"), F.col("so_far").isNull().alias("met"))
+        new = each.groupBy("seed", "node").agg(F.max("weight").alias("weight"), F.max("met").alias("met")).where(~F.col("met"))
         n = F.row_number().over(W.partitionBy("seed").orderBy(F.desc("weight"), "node"))
         new = new.withColumn("n", n).where(F.col("n") <= per_hop).select("seed", "node", F.lit(hop).alias("hop"), "weight")
         frontier = stored(new, f"hop-{hop}")
-        if not frontier.limit(1).count():
-            break
         met = met.union(frontier)
     return met.where("hop > 0")
 
@@ -55,9 +72,9 @@ def bought_together(spark, d: str, task_pairs: int = TASK_PAIRS) -> DataFrame:
     orders = table(spark, d, "lineitem").where("l_partkey IS NOT NULL AND l_orderkey IS NOT NULL").groupBy("l_orderkey")
     orders = stored(orders.agg(F.collect_set("l_partkey").alias("ps")), "orders-products")
     pairs = orders.agg(F.sum(F.size("ps").cast("long") * (F.size("ps") - 1)).alias("n")).first()["n"] or 0
-    first = orders.select("ps", F.explode("ps").alias("src"))
-    # What is dealt out is a product with its whole order, less than its pairs.
-    first = first.repartition(max(1, -(-pairs // task_pairs)), "src")
+    tasks = max(1, -(-pairs // task_pairs))
+    # Orders are dealt out first: what a task writes is a product with its whole order, less than its pairs.
+    first = orders.repartition(tasks, "l_orderkey").select("ps", F.explode("ps").alias("src")).repartition(tasks, "src")
     each = first.select("src", F.explode("ps").alias("dst")).where("src != dst")
     return each.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
 
