@@ -9,9 +9,11 @@ only those are ever indexed.  Tokens that one set alone holds come first of all
 nothing: a set with enough of them is not indexed, and of others they are only counted.
 
 1. Documents with the same set are one representative.
-2. Similar documents are brought into groups: each representative is compared with the
-   smallest one under each of its first shared tokens (a number of pairs linear in the
-   documents), and the links found give components, cut into groups of bounded size.
+2. Similar documents are brought into groups: each representative is compared with those
+   that come first under most of its shared tokens, having the fewest rarer tokens before
+   them (a number of pairs linear in the documents), and the links found give components,
+   cut into groups of bounded size.  Of near copies of one text the one that was changed
+   least comes first, which links with most of the others.
 3. The matrix holds, for each token, the groups that contain it.  A representative and a
    group of another component are a candidate if they share an indexed token and their
    sizes, and the token's places in the order, allow a link.
@@ -199,8 +201,9 @@ def jaccard_groups(
     # Keys of the prefixes that different sets share, dealt out once and read twice.
     tokens = heads.select("id", "n", "alone", F.posexplode("prefix").alias("pos", "token"))
     tokens = tokens.select("id", "n", (F.col("alone") + F.col("pos")).alias("pos"), "token").repartition(parts, "token")
-    shared = tokens.groupBy("token").agg(F.min(F.struct("id", "n", "pos")).alias("least"), F.max("id").alias("most"))
-    postings = stored(tokens.join(shared.where(F.col("least")["id"] < F.col("most")).drop("most"), "token"), "jaccard-postings")
+    # The first under a token is the set with the fewest rarer tokens: of near copies the most like all others.
+    shared = tokens.groupBy("token").agg(F.min(F.struct("pos", "id", "n")).alias("first"), F.min("id").alias("low"), F.max("id").alias("high"))
+    postings = stored(tokens.join(shared.where("low < high").drop("low", "high"), "token"), "jaccard-postings")
 
     def allowed(n, left, low, high, high_left):
         """Sizes n and low to high can link, with one token shared before at most
@@ -231,14 +234,15 @@ def jaccard_groups(
         both = both.join(full.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
         return stored(both.where(linked("x", "y")).select("a", "b"), name + "-links")
 
-    # Step 2: each set against the smallest id under each of its first shared tokens.
-    least = F.col("least")
+    # Step 2: each set against those that are the first under most of its shared tokens.
+    pivot = F.col("first")
     near = postings.where(
-        (F.col("id") != least["id"])
-        & allowed(F.col("n"), F.col("n") - F.col("pos"), least["n"], least["n"], least["n"] - least["pos"])
+        (F.col("id") != pivot["id"])
+        & allowed(F.col("n"), F.col("n") - F.col("pos"), pivot["n"], pivot["n"], pivot["n"] - pivot["pos"])
     )
-    nth = F.slice(F.array_sort(F.collect_list(F.struct("pos", least["id"].alias("pivot")))), 1, pivots)
-    near = near.groupBy("id").agg(F.array_distinct(F.transform(nth, lambda x: x["pivot"])).alias("near"))
+    near = near.groupBy("id", pivot["id"].alias("pivot")).agg(F.count(F.lit(1)).alias("votes"))
+    most = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("votes"), "pivot"))), 1, pivots)
+    near = near.groupBy("id").agg(F.transform(most, lambda x: x["pivot"]).alias("near"))
     near = near.select(F.col("id").alias("a"), F.explode("near").alias("b"))
     sided = lambda c, t: heads.select(F.col("id").alias(c), *(F.col(x).alias(x + t) for x in ("n", "prefix", "alone")))
     near = near.join(sided("a", "_a"), "a").join(sided("b", "_b"), "b")
