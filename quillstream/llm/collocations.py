@@ -3,19 +3,24 @@
 Words that occur often enough get numbers, and texts become arrays of them (0: a rarer word
 or the end of a piece).  Level by level, windows both of whose shorter parts are candidates
 are looked for in the texts, and those that can reach the least count become candidates.  The
-candidates go out as double-array tries of bounded size; numpy moves all positions of a text
-through a trie at once, counts the accepting states, and the counts of all shards of the
-texts are summed.
+candidates go out as double-array tries of bounded size, built in tasks; their file is mapped
+into memory, once for all workers of an executor, and so is that of the numbered words.  numpy
+moves all positions of a text through the trie that they are dealt to at once, counts the
+accepting states, and the counts of all shards of the texts are summed.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import os
+import tempfile
+import uuid
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,14 +32,17 @@ MAX_WORDS = 4
 TOP = 2000
 #: A candidate goes if a longer one has so many hundredths of its count.
 COVER = 80
-#: Of the words numbered in one pass over the texts, and the phrases of one trie.
-VOCABULARY_ROWS, VOCABULARY_BYTES, TRIE_ROWS = 500_000, 16 << 20, 1_000_000
-#: Text that is split into words at once, numbers in a row of encoded text, rows merged in a task.
-SPLIT_BYTES, ROW_NUMBERS, HELD_KEYS = 4 << 20, 1 << 16, 2_000_000
+#: Of the words that are numbered in one task, and the phrases of one trie.
+VOCABULARY_ROWS, VOCABULARY_BYTES, TRIE_ROWS = 500_000, 16 << 20, 500_000
+#: Text that is split into words at once, numbers in a row of encoded text, numbers that are
+#: looked at and rows that are merged at once in a task, distinct words held in a task.
+SPLIT_BYTES, ROW_NUMBERS, HELD_KEYS, HELD_WORDS = 4 << 20, 1 << 13, 1_000_000, 500_000
 #: Children of a node of a trie that is placed together with others.
 FEW = 8
-#: Counts of a trie that travel in one row.
+#: States of the tries whose counts travel in one row.
 BLOCK = 1024
+#: A phrase is dealt to a trie by its first two numbers, times these.
+DEAL = (7919, 104729)
 
 END = b"\xff"  # stands in no UTF-8
 _KEEP = bytearray(range(256))
@@ -77,8 +85,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for lang, tokens in token_groups(batch):
                 held.setdefault(lang, Counter()).update(tokens)
-                if len(held[lang]) > 500_000:
-                    yield emit(lang)
+                while sum(map(len, held.values())) > HELD_WORDS:  # of all languages
+                    yield emit(max(held, key=lambda x: len(held[x])))
         for lang in list(held):
             yield emit(lang)
 
@@ -86,7 +94,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def numbered(words: DataFrame) -> tuple[DataFrame, int]:
-    """Words with ``id``, dense from 1, and ``shard``, each of which may be sent to all."""
+    """Words with ``id``, dense from 1, and ``shard``, each of which may be held by the driver."""
     sizes = words.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("word")), F.lit(0)).alias("bytes")).first()
     shards = max(1, -(-sizes["rows"] // VOCABULARY_ROWS), -(-sizes["bytes"] // VOCABULARY_BYTES))
     dealt = words.withColumn("shard", F.pmod(F.xxhash64("lang", "word"), F.lit(shards)).cast("int"))
@@ -97,45 +105,71 @@ def numbered(words: DataFrame) -> tuple[DataFrame, int]:
     return stored(dealt.withColumn("id", (nth + start).cast("int")), "phrases-words"), shards
 
 
+def shipped(df: DataFrame, name: str, write) -> str:
+    """A file of the driver's that Spark hands to every executor; ``write`` fills it."""
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="phrases-")), f"{name}-{uuid.uuid4().hex}")
+    with open(path, "wb") as out:
+        write(out)
+    df.sparkSession.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+class Vocabulary:
+    """Numbers of words by language, in a file that is mapped into memory: its batches hold
+    the words of one language and shard each."""
+
+    def __init__(self, name: str, batches: dict[str, list[int]]):
+        self.name, self.batches, self._file = name, batches, None
+
+    def numbers(self, lang: str, tokens: list[bytes]) -> np.ndarray:
+        """Of each token, 0 where it has none."""
+        self._file = self._file or pa.ipc.open_file(pa.memory_map(SparkFiles.get(self.name)))
+        coded = pa.array(tokens, pa.binary()).dictionary_encode()
+        of = np.zeros(len(coded.dictionary), np.int32)
+        for i in self.batches.get(lang, []) if len(of) else []:
+            batch = self._file.get_batch(i)
+            # The words are looked up among those of the text, which are few whatever the vocabulary.
+            at = pc.index_in(batch.column("word"), value_set=coded.dictionary).fill_null(-1).to_numpy()
+            hit = np.flatnonzero(at >= 0)
+            of[at[hit]] = batch.column("id").to_numpy()[hit]
+        return of[coded.indices.to_numpy()]
+
+
+def ship_words(words: DataFrame, shards: int) -> Vocabulary:
+    """The driver holds one shard at a time."""
+    batches: dict[str, list[int]] = defaultdict(list)
+
+    def write(out) -> None:
+        n, schema = 0, pa.schema([("word", pa.binary()), ("id", pa.int32())])
+        with pa.ipc.new_file(out, schema) as file:
+            for shard in range(shards):
+                table = words.where(F.col("shard") == shard).select("lang", "word", "id").orderBy("lang").toArrow().combine_chunks()
+                langs = pc.run_end_encode(table.column("lang").combine_chunks()) if table.num_rows else None
+                start = 0
+                for lang, end in zip(langs.values.to_pylist(), langs.run_ends.to_pylist(), strict=True) if langs else ():
+                    rows = table.select(["word", "id"]).slice(start, end - start).combine_chunks().cast(schema)
+                    for batch in rows.to_batches():
+                        file.write_batch(batch)
+                        batches[lang].append(n)
+                        n += 1
+                    start = end
+
+    name = shipped(words, "words", write)
+    return Vocabulary(name, dict(batches))
+
+
 def encoded(texts: DataFrame, words: DataFrame, shards: int) -> DataFrame:
-    """(ids): texts as rows of little-endian 32-bit numbers; a text's words stay in their order.
+    """(ids): texts as rows of little-endian 32-bit numbers; a text's words stay in their order,
+    each row ends with a 0.  One pass, however many shards the words have."""
+    vocabulary = ship_words(words, shards)
 
-    Each shard of words is sent by itself and fills in the numbers of its words; until the
-    last has done so, rows carry their tokens along.
-    """
-    table = texts
-    for shard in range(shards):
-        last = shard == shards - 1
-        one = words.where(F.col("shard") == shard).select("lang", "word", "id").toArrow()
-        sent = texts.sparkSession.sparkContext.broadcast(one)
-
-        def encode(batches: Iterator[pa.RecordBatch], sent=sent, first=shard == 0, last=last) -> Iterator[pa.RecordBatch]:
-            known: dict[str, dict[bytes, int]] = {}
-            for lang, word, number in zip(*(sent.value.column(c).to_pylist() for c in ("lang", "word", "id")), strict=True):
-                known.setdefault(lang, {})[word] = number
-            for batch in batches:
-                for lang, tokens, ids in _token_rows(batch, first):
-                    of = known.get(lang, {}).get
-                    ids = np.maximum(ids, np.fromiter((of(t, 0) for t in tokens), np.int32, len(tokens)))
-                    if last:
-                        yield pa.RecordBatch.from_arrays([pa.array(list(_rows(ids)), pa.binary())], names=["ids"])
-                    else:
-                        columns = [pa.array([lang]), pa.array([b" ".join(tokens)], pa.binary()), pa.array([ids.tobytes()], pa.binary())]
-                        yield pa.RecordBatch.from_arrays(columns, names=["lang", "tokens", "ids"])
-
-        table = stored(table.mapInArrow(encode, "ids binary" if last else "lang string, tokens binary, ids binary"), "phrases-texts")
-        sent.unpersist()
-    return table
-
-
-def _token_rows(batch: pa.RecordBatch, first: bool) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
-    if first:
-        for lang, tokens in token_groups(batch):
-            yield lang, tokens, np.zeros(len(tokens), np.int32)
-    else:
-        for row in range(batch.num_rows):
-            lang, tokens, ids = (batch.column(c)[row].as_py() for c in ("lang", "tokens", "ids"))
-            yield lang, tokens.split(), np.frombuffer(ids, np.int32)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, tokens in token_groups(batch):
+                ids = np.append(vocabulary.numbers(lang, tokens), np.int32(0))
+                yield pa.RecordBatch.from_arrays([pa.array(list(_rows(ids)), pa.binary())], names=["ids"])
+
+    return stored(texts.mapInArrow(encode, "ids binary"), "phrases-texts")
 
 
 def _rows(ids: np.ndarray) -> Iterator[bytes]:
@@ -148,6 +182,20 @@ def _rows(ids: np.ndarray) -> Iterator[bytes]:
         start = end
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[np.ndarray]:
+    """Rows of numbers put together, ``most`` numbers or one row more at once."""
+    waiting, size = [], 0
+    for batch in batches:
+        for row in batch.column("ids"):
+            waiting.append(np.frombuffer(row.as_buffer(), "<i4"))
+            size += len(waiting[-1])
+            if size >= most:
+                yield np.concatenate(waiting)
+                waiting, size = [], 0
+    if waiting:
+        yield np.concatenate(waiting)
+
+
 class DoubleArrayTrie:
     """Phrases of numbers as a trie in two arrays: from slot s by symbol c one comes to slot
     base[s] + c, if check says that it is a child of s.  Slot 0 is the root.  ``phrases`` holds
@@ -171,9 +219,16 @@ class DoubleArrayTrie:
                 for k in range(level - 1):
                     at = self.base[at] + codes[rows, k]
                 self._add_level(at, codes[rows, level - 1], rows)
-        self._resize(int(self.base.max()) + n + 1)
+        self._resize(self._end + 1)  # the last slot is nobody's child
         del self._used, self._first, self._end, self._from
 
+    @classmethod
+    def of(cls, symbols: np.ndarray, base: np.ndarray, check: np.ndarray) -> DoubleArrayTrie:
+        """One that was built before, from what walking it takes."""
+        trie = cls.__new__(cls)
+        trie.symbols, trie.base, trie.check = symbols, base, check
+        return trie
+
     def _resize(self, size: int) -> None:
         fit = lambda x, fill: np.concatenate([x[:size], np.full(max(0, size - len(x)), fill, x.dtype)])
         self.base, self.check, self.accept, self._used = fit(self.base, 0), fit(self.check, -1), fit(self.accept, -1), fit(self._used, False)
@@ -239,16 +294,17 @@ class DoubleArrayTrie:
         self.check[slots], self.accept[slots], self._used[slots] = parents, rows, True
         self._end = max(self._end, int(slots.max(initial=0)) + 1)
 
-    def walk(self, ids: np.ndarray, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each level from 2 to ``words``: the positions whose next so many numbers are a
-        phrase's, or its beginning, and the slots that they have reached."""
-        codes = self._codes(ids)
-        at = np.flatnonzero(self.check[codes] == 0)
-        slots = codes[at]
+    def walk(self, ids: np.ndarray, words: int, at: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each level from 2 to ``words``: the positions, of all or of ``at``, whose next so
+        many numbers are a phrase's, or its beginning, and the slots that they have reached."""
+        at = np.arange(len(ids)) if at is None else at
+        slots = self._codes(ids[at])
+        good = self.check[slots] == 0
+        at, slots = at[good], slots[good]
         for level in range(2, words + 1):
             inside = at + level <= len(ids)
             at, slots = at[inside], slots[inside]
-            following = self.base[slots] + codes[at + level - 1]
+            following = np.minimum(self.base[slots] + self._codes(ids[at + level - 1]), len(self.check) - 1)
             good = self.check[following] == slots
             at, slots = at[good], following[good]
             yield at, slots
@@ -258,10 +314,73 @@ class DoubleArrayTrie:
             at = np.minimum(np.searchsorted(self.symbols, ids), len(self.symbols) - 1)
             return np.where(self.symbols[at] == ids, at, 0)
         if not hasattr(self, "_table"):
-            self._table = np.zeros(int(self.symbols[-1]) + 2, np.int32)
-            self._table[self.symbols] = np.arange(len(self.symbols))
+            self.fill(np.zeros(int(self.symbols[-1]) + 2, np.int32))
         return self._table[np.minimum(ids, len(self._table) - 1)]
 
+    def fill(self, table: np.ndarray) -> None:
+        """Use a table of zeros for the codes of numbers, until ``clear``."""
+        table[self.symbols] = np.arange(len(self.symbols))
+        self._table = table
+
+    def clear(self) -> None:
+        self._table[self.symbols] = 0
+        del self._table
+
+    def spelled(self, slots: np.ndarray) -> np.ndarray:
+        """The phrases that lead to slots, a row each, 0 after their end: up from child to parent."""
+        out = np.zeros((len(slots), MAX_WORDS), np.int32)
+        while (slots > 0).any():
+            parents = np.maximum(self.check[slots], 0)
+            out[:, 1:] = np.where((slots > 0)[:, None], out[:, :-1], out[:, 1:])
+            out[:, 0] = np.where(slots > 0, self.symbols[slots - self.base[parents]], out[:, 0])
+            slots = np.where(slots > 0, parents, 0)
+        return out
+
+
+class Tries:
+    """Many tries in one file that is mapped into memory; ``sizes`` has the numbers of symbols
+    and of slots of each.  A phrase is in the trie that its first two numbers are dealt to.
+    States are numbered through all tries."""
+
+    def __init__(self, name: str, sizes: list[tuple[int, int]]):
+        self.name, self.sizes = name, sizes
+        self.starts = np.cumsum([0, *(slots for _, slots in sizes)])
+
+    def _tries(self) -> list[DoubleArrayTrie]:
+        if not hasattr(self, "_open"):
+            data, at, tries = np.memmap(SparkFiles.get(self.name), "<i4", "r"), 0, []
+            for symbols, slots in self.sizes:
+                parts = np.split(data[at : at + symbols + 2 * slots], [symbols, symbols + slots])
+                tries.append(DoubleArrayTrie.of(*map(np.asarray, parts)))
+                at += symbols + 2 * slots
+            most = max(int(t.symbols[-1]) for t in tries)
+            self._scratch = np.zeros(most + 2 if most < 1 << 24 else 0, np.int32)
+            self._open = tries
+        return self._open
+
+    def walk(self, ids: np.ndarray, words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(level, positions, states) for each trie and level from 2 to ``words``."""
+        tries = self._tries()
+        at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+        shard = (ids[at] * np.int64(DEAL[0]) + ids[at + 1] * np.int64(DEAL[1])) % len(tries)
+        order = np.argsort(shard.astype(np.uint16) if len(tries) < 1 << 16 else shard, kind="stable")  # by digits if short
+        at = at[order]
+        ends = np.cumsum(np.bincount(shard, minlength=len(tries)))
+        for trie, start, begin, end in zip(tries, self.starts[:-1].tolist(), [0, *ends[:-1]], ends, strict=True):
+            if end > begin:
+                if len(self._scratch):
+                    trie.fill(self._scratch)
+                for level, (found, slots) in enumerate(trie.walk(ids, words, at[begin:end]), 2):
+                    yield level, found, slots + start
+                if len(self._scratch):
+                    trie.clear()
+
+    def spelled(self, states: np.ndarray) -> np.ndarray:
+        """The phrases of states in ascending order."""
+        cuts = np.searchsorted(states, self.starts)
+        parts = [t.spelled(states[a:b] - start) for t, start, a, b in zip(self._tries(), self.starts[:-1], cuts[:-1], cuts[1:], strict=True) if b > a]
+        return np.concatenate([np.zeros((0, MAX_WORDS), np.int32), *parts])
+
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     all_keys, all_counts = np.concatenate(keys), np.concatenate(counts)
@@ -271,104 +390,104 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return all_keys[first], np.add.reduceat(all_counts, first) if len(first) else all_counts
 
 
-def candidates(texts: DataFrame, level: int, tries: list, min_count: int) -> DataFrame:
+def candidates(texts: DataFrame, level: int, tries: Tries | None, min_count: int) -> DataFrame:
     """Windows of ``level`` numbers that occur at least ``min_count`` times and whose first and
-    last ``level`` - 1 numbers are candidates (the last are looked up where one trie holds
-    all).  Of a window a task reports what it meets, ``min_count`` at most: the choice needs
-    no more.  A pass over the texts for each trie."""
+    last ``level`` - 1 numbers are candidates.  Of a window a task reports what it meets,
+    ``min_count`` at most: the choice needs no more.  One pass over the texts."""
 
-    def windows(ids: np.ndarray, trie: DoubleArrayTrie | None) -> np.ndarray:
+    def windows(ids: np.ndarray) -> np.ndarray:
         """A word's or phrase's number, and the word after it, in 64 bits."""
-        if trie is None:
-            at = np.flatnonzero(ids[:-1])
-            head = ids
+        if tries is None:
+            at, head = np.flatnonzero(ids[:-1]), ids
         else:
-            *_, (at, slots) = trie.walk(ids, level - 1)
             head = np.full(len(ids) + 1, -1, np.int32)
-            head[at] = trie.accept[slots]
+            for reached, found, states in tries.walk(ids, level - 1):
+                if reached == level - 1:
+                    head[found] = states
+            at = np.flatnonzero((head[:-1] >= 0) & (head[1:] >= 0))
             at = at[at + level <= len(ids)]
-            if len(tries) == 1:
-                at = at[head[at + 1] >= 0]
         following = ids[at + level - 1]
         at, following = at[following > 0], following[following > 0]
         return (head[at].astype(np.int64) << 32) | following
 
-    def seek(sent) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            trie = sent and sent.value
-            keys, counts = np.zeros((2, 0), np.int64)
-            waiting: list[np.ndarray] = []
-
-            def merge() -> None:
-                nonlocal keys, counts
-                new, times = np.unique(np.concatenate([np.zeros(0, np.int64), *waiting]), return_counts=True)
-                waiting.clear()
-                keys, counts = _merged([keys, new], [counts, times])
-
-            def emit() -> pa.RecordBatch:
-                nonlocal keys, counts
-                head = (keys >> 32).astype(np.int32)[:, None] if trie is None else trie.phrases[keys >> 32, : level - 1].astype(np.int32)
-                last, rest = (keys & 0xFFFFFFFF).astype(np.int32), np.zeros((MAX_WORDS - level, len(keys)), np.int32)
-                columns = [*head.T, last, *rest, np.minimum(counts, min_count).astype(np.int32)]
-                keys, counts = np.zeros((2, 0), np.int64)
-                return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=[*WORD_COLS, "n"])
-
-            for batch in batches:
-                for row in batch.column("ids"):
-                    waiting.append(windows(np.frombuffer(row.as_buffer(), "<i4"), trie))
-                    if sum(map(len, waiting)) > HELD_KEYS:
-                        merge()
-                        if len(keys) > HELD_KEYS:
-                            yield emit()
-            merge()
-            yield emit()
-
-        return texts.mapInArrow(run, ", ".join(f"{c} int" for c in [*WORD_COLS, "n"]))
-
-    found = reduce(DataFrame.union, [seek(t) for t in tries or [None]])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, counts in _summed(map(windows, _chunks(batches, HELD_KEYS)), HELD_KEYS):
+            head = (keys >> 32).astype(np.int32)[:, None] if tries is None else tries.spelled(keys >> 32)[:, : level - 1]
+            last, rest = (keys & 0xFFFFFFFF).astype(np.int32), np.zeros((MAX_WORDS - level, len(keys)), np.int32)
+            columns = [*head.T, last, *rest, np.minimum(counts, min_count).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=[*WORD_COLS, "n"])
+
+    found = texts.mapInArrow(run, ", ".join(f"{c} int" for c in [*WORD_COLS, "n"]))
     found = found.groupBy(*WORD_COLS).agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
     return stored(found.select(*WORD_COLS), "phrases-candidates")
 
 
-def send_tries(phrases: DataFrame, trie_rows: int) -> list:
+def _summed(parts: Iterator[np.ndarray], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct keys in ascending order with their counts; up to ``most`` are held and added to."""
+    keys, counts = np.zeros((2, 0), np.int64)
+    for part in parts:
+        new, times = np.unique(part, return_counts=True)
+        keys, counts = _merged([keys, new], [counts, times])
+        if len(keys) > most:
+            yield keys, counts
+            keys, counts = np.zeros((2, 0), np.int64)
+    yield keys, counts
+
+
+def send_tries(phrases: DataFrame, trie_rows: int) -> Tries | None:
     """Tries of all candidates, dealt by their first two numbers, so that a phrase's own
-    beginnings are where it is.  Each is built from ``trie_rows`` phrases, about."""
-    spark, rows = phrases.sparkSession, phrases.count()
-    shards = max(1, -(-rows // trie_rows))
-    dealt = phrases.withColumn("shard", F.pmod(F.xxhash64("w1", "w2"), F.lit(shards)))
-    sent = []
-    for i in range(shards):
-        table = dealt.where(F.col("shard") == i).select(*WORD_COLS).toArrow()
-        if table.num_rows:
-            sent.append(spark.sparkContext.broadcast(DoubleArrayTrie(np.stack([table.column(c).to_numpy() for c in WORD_COLS], axis=1))))
-    return sent
-
-
-def trie_counts(texts: DataFrame, sent) -> DataFrame:
-    """(w1, w2, w3, w4, n) of every phrase of a trie, exactly: shards of the texts count
-    accepting states, blocks of counts are summed."""
+    beginnings are where it is.  Each is built from ``trie_rows`` phrases, about, in a task of
+    its own; the driver holds one at a time."""
+    rows = phrases.count()
+    if not rows:
+        return None
+    shards = -(-rows // trie_rows)
+    shard = sum(F.col(c).cast("long") * F.lit(d) for c, d in zip(WORD_COLS, DEAL, strict=False)) % F.lit(shards)
+
+    def build(table: pa.Table) -> pa.Table:
+        trie = DoubleArrayTrie(np.stack([table.column(c).to_numpy() for c in WORD_COLS], axis=1))
+        parts = [x.astype("<i4").tobytes() for x in (trie.symbols, trie.base, trie.check)]
+        return pa.table([table.column("shard").slice(0, 1), *([x] for x in parts)], schema=pa.schema([("shard", pa.int64()), *((c, pa.binary()) for c in ("symbols", "base", "check"))]))
+
+    dealt = phrases.withColumn("shard", shard).groupBy("shard")
+    built = stored(dealt.applyInArrow(build, "shard long, symbols binary, base binary, check binary"), "phrases-tries", by="shard")
+    # One without phrases has a root that nothing leaves.
+    empty = [np.array(x, "<i4").tobytes() for x in ([0], [0], [-1])]
+    sizes = []
+
+    def write(out) -> None:
+        for i in range(shards):
+            row = built.where(F.col("shard") == i).select("symbols", "base", "check").first()
+            for part in row or empty:
+                out.write(part)
+            sizes.append((len((row or empty)[0]) // 4, len((row or empty)[1]) // 4))
+
+    name = shipped(phrases, "tries", write)
+    return Tries(name, sizes)
+
+
+def trie_counts(texts: DataFrame, tries: Tries) -> DataFrame:
+    """(w1, w2, w3, w4, n) of every phrase of the tries, exactly: shards of the texts count
+    accepting states, which all are from the second level on, and blocks of counts are summed."""
+
+    def states(ids: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *(x for _, _, x in tries.walk(ids, MAX_WORDS))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = sent.value
-        total = np.zeros(len(trie.phrases), np.int64)
-        for batch in batches:
-            for row in batch.column("ids"):
-                for _, slots in trie.walk(np.frombuffer(row.as_buffer(), "<i4"), MAX_WORDS):
-                    total += np.bincount(trie.accept[slots], minlength=len(total))
-        blocks = [(b, total[b : b + BLOCK]) for b in range(0, len(total), BLOCK)]
-        blocks = [(b, x.astype("<i8").tobytes()) for b, x in blocks if x.any()]
-        columns = [pa.array([b for b, _ in blocks], pa.int64()), pa.array([x for _, x in blocks], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["block", "counts"])
+        for keys, counts in _summed(map(states, _chunks(batches, HELD_KEYS)), HELD_KEYS):
+            blocks, begins = np.unique(keys // BLOCK, return_index=True)
+            cut = lambda x, kind: pa.array([y.tobytes() for y in np.split(x.astype(kind), begins[1:])] if len(x) else [], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), cut(keys % BLOCK, "<i2"), cut(counts, "<i8")], names=["block", "at", "counts"])
 
     def add(parts: pa.Table) -> pa.Table:
-        block = parts.column("block")[0].as_py()
-        phrases = sent.value.phrases[block : block + BLOCK].astype(np.int32)
-        total = np.zeros(len(phrases), np.int64)
-        for counts in parts.column("counts"):
-            total += np.frombuffer(counts.as_buffer(), "<i8")
-        return pa.table([pa.array(np.ascontiguousarray(c)) for c in [*phrases.T, total]], names=[*WORD_COLS, "n"])
-
-    parts = texts.mapInArrow(count, "block long, counts binary")
+        total = np.zeros(BLOCK, np.int64)
+        for at, counts in zip(parts.column("at"), parts.column("counts"), strict=True):
+            total[np.frombuffer(at.as_buffer(), "<i2")] += np.frombuffer(counts.as_buffer(), "<i8")
+        found = np.flatnonzero(total)
+        phrases = tries.spelled(found + parts.column("block")[0].as_py() * BLOCK)
+        return pa.table([pa.array(np.ascontiguousarray(c)) for c in [*phrases.T, total[found]]], names=[*WORD_COLS, "n"])
+
+    parts = texts.mapInArrow(count, "block long, at binary, counts binary")
     return parts.groupBy("block").applyInArrow(add, ", ".join(f"{c} int" for c in WORD_COLS) + ", n long")
 
 
@@ -380,25 +499,19 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, trie_rows: int =
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     words, shards = numbered(counts.where(F.col("n") >= min_count))
     ids = encoded(texts, words, shards)
-    tries: list = []
-    phrases = None
+    tries = phrases = None
     for level in range(2, MAX_WORDS + 1):
         found = candidates(ids, level, tries, min_count)
-        for t in tries:
-            t.unpersist()
-        phrases = found if phrases is None else phrases.union(found)
-        tries = send_tries(phrases, trie_rows)
         if not found.limit(1).count():
             break
+        phrases = found if phrases is None else phrases.union(found)
+        tries = send_tries(phrases, trie_rows)
     zero = F.lit(0)
     single = words.select(F.col("id").alias("w1"), zero.alias("w2"), zero.alias("w3"), zero.alias("w4"), "n")
     counted = single
     if tries:
-        counted = reduce(DataFrame.union, [trie_counts(ids, t) for t in tries], single).where(F.col("n") >= min_count)
-    counted = stored(counted, "phrases-counted")
-    for t in tries:
-        t.unpersist()
-    return words, counted, totals
+        counted = single.union(trie_counts(ids, tries).where(F.col("n") >= min_count))
+    return words, stored(counted, "phrases-counted"), totals
 
 
 def _part(begin: int, end: int) -> Column:

@@ -71,3 +71,40 @@ def test_trie_finds_what_a_set_finds():
         want = [i for i in range(len(ids) - level + 1) if (*ids[i : i + level].tolist(), *[0] * (4 - level)) in closed]
         assert at.tolist() == want
         assert [tuple(trie.phrases[x][:level]) for x in trie.accept[slots]] == [tuple(ids[i : i + level]) for i in want]
+
+
+def test_a_pass_for_all_words_and_tries(spark, monkeypatch):
+    """However many shards of words and tries there are: texts are numbered in one pass and
+    leave no words beside the numbers, each level is one pass, the driver builds no trie."""
+    written, real = [], collocations.stored
+
+    def stored(df, name, *args, **kwargs):
+        written.append((name, df.columns, df._jdf.queryExecution().analyzed().toString().count("MapInArrow")))
+        return real(df, name, *args, **kwargs)
+
+    def refuse(self, phrases):
+        raise AssertionError("a trie was built in the driver")
+
+    monkeypatch.setattr(collocations, "stored", stored)
+    monkeypatch.setattr(collocations, "VOCABULARY_ROWS", 4)
+    monkeypatch.setattr(collocations.DoubleArrayTrie, "__init__", refuse)
+    docs = made(6, 120)
+    got = collocations.mine_collocations(spark.createDataFrame(docs, SCHEMA), min_count=5, trie_rows=11)
+    assert sorted(map(tuple, got.collect())) == brute(docs, 5)
+    assert [(columns, passes) for name, columns, passes in written if name == "phrases-texts"] == [(["ids"], 1)]
+    assert [passes for name, _, passes in written if name == "phrases-candidates"] == [1, 1, 1]
+
+
+def test_mapped_tries(spark):
+    """Tries lie in one file that is mapped, not copied; a state spells its phrase."""
+    r = np.random.default_rng(7)
+    closed = {(*p[:n], *[0] * (4 - n)) for p in r.integers(1, 40, (600, 4)).tolist() for n in (2, 3, 4)}
+    tries = collocations.send_tries(spark.createDataFrame(sorted(closed), "w1 int, w2 int, w3 int, w4 int"), 100)
+    ids = r.integers(0, 45, 5000).astype(np.int32)
+    found = {}
+    for level, at, states in tries.walk(ids, 4):
+        order = np.argsort(states)
+        found |= {(level, a): tuple(p) for a, p in zip(at[order].tolist(), tries.spelled(states[order]).tolist(), strict=True)}
+    windows = {(n, i): (*ids[i : i + n].tolist(), *[0] * (4 - n)) for n in (2, 3, 4) for i in range(len(ids) - n + 1) if ids[i : i + n].all()}
+    assert found == {k: p for k, p in windows.items() if p in closed}
+    assert len(tries.sizes) > 10 and all(isinstance(t.base.base, np.memmap) for t in tries._tries())
